@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedder, mixing, packing, quality, secrets
+from . import chat, embedder, hamming, htmltext, mixing, packing, paritysketch, pii, quality, secrets
 from .common import read
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.code_of(F.col("embedding")).alias("code"))
+    return hamming.search(rows, rows.where(F.col("id") % 20 == 0), k=10)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -19,12 +24,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).drop("text")
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_entities.*")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(embedder.fold(F.col("doc_id")) != 1)
     scored = embedder.score(read(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", (embedder.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paritysketch.join(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(read(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate")
@@ -46,11 +63,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_packing": op2_packing,
-    "op3_quality_rules": op3_quality_rules,
-    "op5_quality_classifier": op5_quality_classifier,
-    "op8_mixing": op8_mixing,
-    "op9_chat_formatting": op9_chat_formatting,
-    "op10_secret_scans": op10_secret_scans,
-}
+    f.__name__: f
+    for f in (
+        op1_topk_search, op2_packing, op3_quality_rules, op4_pii_surrogates, op5_quality_classifier,
+        op6_jaccard_join, op7_html_extraction, op8_mixing, op9_chat_formatting, op10_secret_scans,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
