@@ -10,8 +10,8 @@ which throws out chance meetings without losing a pair. What is left is verified
 Shape of the work: one shuffle of (block key, set, chain) rows, sorted, of which each run of equal keys is
 read as a stream. In a run not all pairs come out but stars: every set is paired with the first set of
 the run that it passes with. After verification and components, those runs that still hold sets of different
-components are gone through once more, now for pairs across components, so no link is lost and no large group is
-written out pair by pair. Copies have one set, which each task sends once. A hot group is spread over the hundreds
+components are gone through once more, now for pairs across components whose whole sketches are near enough, so no
+link is lost and no large group is written out pair by pair. Copies have one set, which each task sends once. A hot group is spread over the hundreds
 of keys that each of its sets has. Components come from alternating stars over tables; nothing is collected
 but a bitmap of fixed size, which only spares texts that surely are not needed a shuffle.
 
@@ -39,6 +39,8 @@ from .common import drop_table, table
 #: Ratio of the bounds of a size band, and bits of a block.
 BAND, BLOCK = 1.3, 32
 CHAIN = 4
+#: Bits of the sketch by which pairs of one run and different components are sifted.
+SIFT = 2048
 #: Words and sets that a task remembers, rows that it looks at together, bits of the bitmap of texts needed again.
 WORDS, SETS, ROWS, BITMAP = 1 << 20, 1 << 20, 1 << 18, 1 << 22
 
@@ -125,7 +127,7 @@ def signatures(h: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         for i in range(1, min(CHAIN, d) + 1):
             chain |= np.roll(folded, -i) << np.uint64(16 * (i - 1))
         at = np.arange(blocks, dtype=np.uint64)
-        keys.append(mix64(bits.astype(np.uint64) * _K[0] + at * _K[1] + np.uint64(band) * _K[2]))
+        keys.append(mix64(bits.astype(np.uint64) * _K[0] + at * _K[1] + np.array([band], np.uint64) * _K[2:3]))
         chains.append(chain)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -216,6 +218,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _left_out(group: np.ndarray, size: np.ndarray, center_of: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """Rows of pairs that pass but that no star has: a row that met its center was not held against the rows after it."""
+    met = center_of >= 0
+    n_met = np.bincount(group[met], minlength=len(size))
+    again = met & (n_met > 1)[group]
+    ends = np.cumsum(size)
+    for g in np.flatnonzero((n_met > 0) & (size - n_met > 1)):
+        run = np.arange(ends[g] - size[g], ends[g])
+        other = run[~met[run]]
+        for x in np.array_split(run[met[run]], -(-int(n_met[g]) // 256)):
+            ok = passes(chain[x][:, None], chain[other][None]) & (other[None] != center_of[x][:, None])
+            again[x] |= ok.any(1)
+            again[other] |= ok.any(0)
+    return again
+
+
 def stars(rows: DataFrame) -> DataFrame:
     """``(kind, a, b, c)``: kind 0 are pairs of sets (a, b); kind 1 the rows (key, sid, chain) of runs to look at again."""
 
@@ -226,7 +244,7 @@ def stars(rows: DataFrame) -> DataFrame:
             start = np.append(True, key[1:] != key[:-1])
             group = np.cumsum(start) - 1
             size = np.bincount(group)
-            met = np.zeros(len(size), bool)
+            center_of = np.full(len(key), -1)
             live = np.flatnonzero(size[group] > 1)
             pairs = []
             while len(live):
@@ -239,7 +257,7 @@ def stars(rows: DataFrame) -> DataFrame:
                 if ok.any():
                     x, y = sid[rest[ok]], sid[center[ok]]
                     pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                    met[group[rest[ok]]] = True
+                    center_of[rest[ok]] = center[ok]
                 live = rest[~ok]
                 left = np.bincount(group[live], minlength=len(size)) if len(live) else size
                 live = live[left[group[live]] > 1]
@@ -247,19 +265,27 @@ def stars(rows: DataFrame) -> DataFrame:
                 p = np.unique(np.concatenate(pairs), axis=0)
                 zero = np.zeros(len(p), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.array(zero)], ["kind", "a", "b", "c"])
-            again = (met & (size > 2))[group]
+            again = _left_out(group, size, center_of, chain)
             if again.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(again.sum(), np.int32)), pa.array(key[again]), pa.array(sid[again]), pa.array(chain[again].view(np.int64))], ["kind", "a", "b", "c"])
 
     return rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "kind int, a long, b long, c long")
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """``(a, b)``: pairs of sets of one run and different labels that pass. ``rows`` is ``(key, label, sid, chain)``."""
+def sketch(h: np.ndarray) -> bytes:
+    return np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) % SIFT, minlength=SIFT) & 1).astype(np.uint8)).tobytes()
+
+
+def across(rows: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of sets of one run and different labels that pass, and whose sketches do.
+
+    ``rows`` is ``(key, label, sid, chain, n, sketch)``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, label, sid, chain in _runs(batches):
+        for key, label, sid, chain, n, whole in _runs(batches):
             chain = chain.view(np.uint64)
+            bits = np.frombuffer(b"".join(whole), np.uint64).reshape(len(key), SIFT // 64)
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             pairs = []
             for i, j in zip(start, np.append(start[1:], len(key)), strict=True):
@@ -269,6 +295,9 @@ def across(rows: DataFrame) -> DataFrame:
                     # Sorted by label: the others of this label come next.
                     q = i + int(np.searchsorted(label[i:j], label[r], side="right"))
                     ok = np.flatnonzero(passes(chain[q:j], chain[r])) + q
+                    if len(ok):
+                        most = (n[ok] + n[r]) * (100 - percent) // (100 + percent)
+                        ok = ok[np.bitwise_count(bits[ok] ^ bits[r]).sum(1, dtype=np.int64) <= most]
                     if len(ok):
                         pairs.append(np.stack([np.minimum(sid[ok], sid[r]), np.maximum(sid[ok], sid[r])], 1))
             if pairs:
@@ -278,9 +307,8 @@ def across(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "label").mapInArrow(run, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose sets are as similar as asked, by the texts of one document each."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+def texts_of(needed: DataFrame, docs: DataFrame, of: DataFrame) -> DataFrame:
+    """``(sid, text)``: a text for each set of ``needed``, and maybe others that share its doc_id."""
     chosen = table(of.where("n > 0 and doc_id is not null").join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "chosen")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
     words = chosen.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits"))
@@ -293,7 +321,24 @@ def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: in
         s = spot.to_numpy()
         return pd.Series((bitmap[s >> 6] >> (s & 63)) & 1 == 1)
 
-    texts = _texts(docs, slot.alias("slot")).where(F.col("doc_id").isNotNull() & maybe("slot")).drop("slot").join(chosen, "doc_id").select("sid", "text")
+    return _texts(docs, slot.alias("slot")).where(F.col("doc_id").isNotNull() & maybe("slot")).drop("slot").join(chosen, "doc_id").select("sid", "text")
+
+
+def sketches(needed: DataFrame, docs: DataFrame, of: DataFrame, k: int) -> DataFrame:
+    """``(sid, n, sketch)`` for each set of ``needed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingles(t.as_py(), k) for t in b.column(1)]
+            own = [i for i, h in enumerate(hashes) if set_id(h) == b.column(0)[i].as_py()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([len(hashes[i]) for i in own], pa.int64()), pa.array([sketch(hashes[i]) for i in own], pa.binary())], ["sid", "n", "sketch"])
+
+    return texts_of(needed, docs, of).mapInArrow(run, "sid long, n long, sketch binary").dropDuplicates(["sid"])
+
+
+def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose sets are as similar as asked, by the texts of one document each."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, of)
     left, right = (texts.select(F.col("sid").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
@@ -305,11 +350,11 @@ def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: in
             for i in range(batch.num_rows):
                 h = []
                 for side in (0, 1):
-                    s = batch.column(side)[i].as_py()
+                    # A doc_id may stand on several texts, so the text counts and not the set alone.
+                    s = batch.column(2 + side)[i].as_py()
                     if last.get(side, (None,))[0] != s:
-                        last[side] = s, shingles(batch.column(2 + side)[i].as_py(), k)
+                        last[side] = s, shingles(s, k)
                     h.append(last[side][1])
-                # A doc_id may stand on several texts: only the one of this set counts.
                 if set_id(h[0]) == batch.column(0)[i].as_py() and set_id(h[1]) == batch.column(1)[i].as_py():
                     common = len(np.intersect1d(*h, assume_unique=True))
                     keep[i] = 100 * common >= percent * (len(h[0]) + len(h[1]) - common)
@@ -357,7 +402,10 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     again = again.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("label", "sid").alias("label"), "sid", "chain")
     again = table(again, "again")
     mixed = again.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    more = table(across(again.join(mixed, "key").select("key", "label", "sid", "chain")).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    again = table(again.join(mixed, "key").select("key", "label", "sid", "chain"), "mixed")
+    whole = sketches(again.select("sid").distinct(), docs, of, k)
+    more = across(again.join(whole, "sid").select("key", "label", "sid", "chain", "n", "sketch"), percent)
+    more = table(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
         links = table(links.union(verify(more, docs, of, k, percent)), "links")
         label = table(components(links), "labels")
