@@ -220,7 +220,8 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     pieces = F.split(t, PATTERN, -1)
     glued = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_found")), F.col("_found"), lambda p, m: F.concat(p, m["new"])), ""), F.element_at(pieces, -1))
     hit = F.size("_found") > 0
-    number = F.struct(*[F.size(F.filter("_found", lambda m, k=k: m["kind"] == k)).cast("long").alias(k) for k in KINDS])
+    of_kind = lambda k: F.size(F.filter("_found", lambda m: m["kind"] == k)).cast("long").alias(k)
+    number = F.struct(*map(of_kind, KINDS))
     ready = ready.withColumn("_new", F.when(hit, glued).otherwise(t))
     out = [F.col("_new").alias(c) if c == text else F.when(hit, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return ready.select(*out, number.alias(counts))
