@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,25 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Held:
+    """Frames that are read more than once, kept on executors' disks until ``free()``.
+
+    Their lineage stays, so what a lost executor held is worked out again. For what is many partitions large this
+    spares the shared folder as many files; loops cut their lineage with ``table()``.
+    """
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    def free(self) -> None:
+        while self.frames:
+            self.frames.pop().unpersist()
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a ``table()`` that nothing will read again."""
     spark = df.sparkSession

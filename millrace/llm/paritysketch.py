@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, table
+from .common import Held, drop_table, table
 
 #: Ratio of the bounds of a size band, and bits of a block.
 BAND, BLOCK = 1.3, 32
@@ -42,7 +42,7 @@ CHAIN = 4
 #: Bits of the sketch by which pairs of one run and different components are sifted.
 SIFT = 2048
 #: Words and sets that a task remembers, rows that it looks at together, bits of the bitmap of texts needed again.
-WORDS, SETS, ROWS, BITMAP = 1 << 20, 1 << 20, 1 << 18, 1 << 22
+WORDS, SETS, ROWS, BITMAP = 1 << 16, 1 << 18, 1 << 18, 1 << 22
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -307,9 +307,9 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "label").mapInArrow(run, "a long, b long").distinct()
 
 
-def texts_of(needed: DataFrame, docs: DataFrame, of: DataFrame) -> DataFrame:
+def texts_of(needed: DataFrame, docs: DataFrame, of: DataFrame, held: Held) -> DataFrame:
     """``(sid, text)``: a text for each set of ``needed``, and maybe others that share its doc_id."""
-    chosen = table(of.where("n > 0 and doc_id is not null").join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "chosen")
+    chosen = held(of.where("n > 0 and doc_id is not null").join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
     words = chosen.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits"))
     bitmap = np.zeros(BITMAP // 64, np.int64)
@@ -324,7 +324,7 @@ def texts_of(needed: DataFrame, docs: DataFrame, of: DataFrame) -> DataFrame:
     return _texts(docs, slot.alias("slot")).where(F.col("doc_id").isNotNull() & maybe("slot")).drop("slot").join(chosen, "doc_id").select("sid", "text")
 
 
-def sketches(needed: DataFrame, docs: DataFrame, of: DataFrame, k: int) -> DataFrame:
+def sketches(needed: DataFrame, docs: DataFrame, of: DataFrame, k: int, held: Held) -> DataFrame:
     """``(sid, n, sketch)`` for each set of ``needed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,12 +333,12 @@ def sketches(needed: DataFrame, docs: DataFrame, of: DataFrame, k: int) -> DataF
             own = [i for i, h in enumerate(hashes) if set_id(h) == b.column(0)[i].as_py()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([len(hashes[i]) for i in own], pa.int64()), pa.array([sketch(hashes[i]) for i in own], pa.binary())], ["sid", "n", "sketch"])
 
-    return texts_of(needed, docs, of).mapInArrow(run, "sid long, n long, sketch binary").dropDuplicates(["sid"])
+    return texts_of(needed, docs, of, held).mapInArrow(run, "sid long, n long, sketch binary").dropDuplicates(["sid"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: int, held: Held) -> DataFrame:
     """Those of ``pairs`` whose sets are as similar as asked, by the texts of one document each."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, of)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, of, held)
     left, right = (texts.select(F.col("sid").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
@@ -392,25 +392,26 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, a row for each row of ``docs``."""
-    of = table(sets(docs, k), "sets")
-    found = table(stars(keys(docs, k, percent)), "stars")
-    pairs = table(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-    links = verify(pairs, docs, of, k, percent)
+    held = Held()
+    of = held(sets(docs, k))
+    found = held(stars(keys(docs, k, percent)))
+    pairs = held(found.where("kind = 0").select("a", "b").distinct())
+    links = verify(pairs, docs, of, k, percent, held)
     label = table(components(links), "labels")
     # Runs with sets of several components may hide links that the stars left out.
     again = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), F.col("c").alias("chain"))
-    again = again.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("label", "sid").alias("label"), "sid", "chain")
-    again = table(again, "again")
+    again = held(again.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("label", "sid").alias("label"), "sid", "chain"))
     mixed = again.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    again = table(again.join(mixed, "key").select("key", "label", "sid", "chain"), "mixed")
-    whole = sketches(again.select("sid").distinct(), docs, of, k)
+    again = held(again.join(mixed, "key").select("key", "label", "sid", "chain"))
+    whole = sketches(again.select("sid").distinct(), docs, of, k, held)
     more = across(again.join(whole, "sid").select("key", "label", "sid", "chain", "n", "sketch"), percent)
-    more = table(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = held(more.join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = table(links.union(verify(more, docs, of, k, percent)), "links")
+        links = table(links.union(verify(more, docs, of, k, percent, held)), "links")
         label = table(components(links), "labels")
     own = of.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label"))
     own = table(own, "labelled")
+    held.free()
     first = own.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
     # Documents without shingles have no label and join nothing.
     return own.join(first, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
