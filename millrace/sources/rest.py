@@ -139,7 +139,7 @@ def pages(r: Request, first: int = 0, last: int | None = None) -> Iterator[objec
                 return
             url = str(cursor) if str(cursor).startswith("http") else with_query(r.url, **{o.get("param", "cursor"): cursor})
         else:
-            total = dotted(doc, o.get("total"))
+            total = dotted(doc, o["total"]) if "total" in o else None
             if size is not None and len(rows) < size or not rows or total is not None and size and n * size >= int(total):
                 return
             url = page_url(r, n)
@@ -211,7 +211,7 @@ def read(spark: SparkSession, r: Request) -> DataFrame:
         return head
     kind, o = r.paginate
     size = int(o["size"]) if "size" in o else len(got)
-    total = dotted(first, o.get("total")) if kind != "cursor" else None
+    total = dotted(first, o["total"]) if kind != "cursor" and "total" in o else None
     if total is not None:
         last = -(-int(total) // max(size, 1))
         last = min(last, int(o["max"])) if "max" in o else last
