@@ -13,6 +13,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import PlanError, RunError, Thrown, is_transient
@@ -383,6 +384,14 @@ class Engine:
         return self.connections[name]
 
     def open(self, s: A.Source, builder: Builder | None, loop: dict | None = None) -> Rel:
+        df, types = self.opened(s, loop)
+        if s.options.get("buffer") and not self.run_.check:
+            # The whole source is read before a sink opens, as both may be one place.
+            df = df.persist(StorageLevel.DISK_ONLY)
+            df.count()
+        return df, types
+
+    def opened(self, s: A.Source, loop: dict | None = None) -> Rel:
         if s.kind == "file":
             given = self.named(s.name, loop)
             if isinstance(s.name, A.Expr):
@@ -421,6 +430,8 @@ class Engine:
             query = jdbc.query_of(c, self.named(s.schema, loop), name, raw, push)
             if "split" in s.options:
                 return relation(jdbc.load_sliced(self.spark, c, query, str(s.options["split"]), int(s.options.get("slices", self.run_.jobs))))
+            if s.kind == "table":
+                return relation(jdbc.load_table(self.spark, c, self.named(s.schema, loop), name, query, self.run_.jobs))
             return relation(jdbc.load(self.spark, c, query))
         if s.kind == "each":
             return self.each_table(s, loop)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import PlanError
 from ..functions.casts import text
 from ..lang import ast as A
-from ..sources.files import dialect, format_of, located
+from ..sources.files import dialect, format_of, located, stores
 
 
 def checked(path: str, mode: str | None, options: dict) -> str:
@@ -38,6 +38,7 @@ def write(df: DataFrame, types: dict[str, A.Type], path: str, mode: str | None,
     ``WITH (parts)`` keeps a directory of parts instead.
     """
     kind = checked(path, mode, options)
+    stores(df.sparkSession, path)
     fs, jvm, target = _fs(df, path)
     if options.get("parts"):
         (df.write.mode("overwrite").parquet(located(path)) if kind == "parquet" else _csv(df, types, options, True).write.mode("overwrite").text(located(path)))

@@ -33,6 +33,19 @@ def located(path: str) -> str:
     return path
 
 
+def stores(spark: SparkSession, path: str) -> None:
+    """Hands the credentials and endpoints that the environment has to Hadoop's file systems."""
+    conf, env = spark.sparkContext._jsc.hadoopConfiguration(), os.environ
+    if path.startswith("s3://"):
+        for key, name in (("access.key", "AWS_ACCESS_KEY_ID"), ("secret.key", "AWS_SECRET_ACCESS_KEY"), ("session.token", "AWS_SESSION_TOKEN"), ("endpoint.region", "AWS_REGION"), ("endpoint", "AWS_ENDPOINT_URL")):
+            if name in env:
+                conf.set(f"fs.s3a.{key}", env[name])
+        if "AWS_ENDPOINT_URL" in env:
+            conf.set("fs.s3a.path.style.access", "true")
+    elif path.startswith("az://") and "AZURE_STORAGE_KEY" in env:
+        conf.set(f"fs.azure.account.key.{path[5:].split('/')[0]}.dfs.core.windows.net", env["AZURE_STORAGE_KEY"])
+
+
 def format_of(path: str, options: dict) -> str:
     """csv or parquet, by ``WITH (format = ...)`` or the extension under a codec's."""
     wanted = options.get("format")
@@ -172,6 +185,7 @@ def read_csv(spark: SparkSession, paths: list[str], options: dict) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    stores(spark, path)
     archive, _, member = (x.strip() for x in path.partition("::"))
     if member or archive.lower().endswith(".zip"):
         if options.get("format") == "parquet" or member.lower().endswith(".parquet"):

@@ -95,6 +95,16 @@ def key_query(conn: Connection, schema: str | None, name: str) -> str:
     )
 
 
+def rows_query(conn: Connection, schema: str | None, name: str) -> str:
+    """A server's own estimate of a table's rows."""
+    t, s = name.replace("'", "''"), (schema or "").replace("'", "''")
+    if conn.dialect == "mysql":
+        return f"SELECT TABLE_ROWS FROM information_schema.TABLES WHERE TABLE_NAME = '{t}' AND TABLE_SCHEMA = " + (f"'{s}'" if s else "DATABASE()")
+    if conn.dialect == "postgres":
+        return f"SELECT CAST(reltuples AS BIGINT) AS n FROM pg_class WHERE oid = '{table_name(conn, schema, name).replace(chr(39), chr(39) * 2)}'::regclass"
+    return f"SELECT SUM(row_count) AS n FROM sys.dm_db_partition_stats WHERE object_id = OBJECT_ID(N'{s + '.' if s else ''}{t}') AND index_id < 2"
+
+
 def slices(column: str, low: int, high: int, n: int, dialect: str) -> list[str]:
     """Predicates that cut a table by an integer key: nulls go to the first slice, the last one is open."""
     c, n = quote(column, dialect), max(1, min(n, high - low + 1))
@@ -140,5 +150,16 @@ def load_sliced(spark: SparkSession, conn: Connection, query: str, column: str,
     return spark.read.jdbc(p.pop("url"), f"({query}) s", predicates=predicates, properties=p)
 
 
+def load_table(spark: SparkSession, conn: Connection, schema: str | None, name: str, query: str, jobs: int) -> DataFrame:
+    """A table, in slices of its key if the server says that it is large and the key is one column."""
+    if jobs > 1 and conn.options.get("auto_split", True):
+        row = load(spark, conn, rows_query(conn, schema, name)).first()
+        if row and row[0] is not None and int(row[0]) >= SPLIT_ROWS:
+            keys = primary_key(spark, conn, schema, name)
+            if len(keys) == 1:
+                return load_sliced(spark, conn, query, keys[0], jobs)
+    return load(spark, conn, query)
+
+
 def primary_key(spark: SparkSession, conn: Connection, schema: str | None, name: str) -> list[str]:
     return [r[0] for r in load(spark, conn, key_query(conn, schema, name)).collect()]

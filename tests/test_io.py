@@ -82,6 +82,12 @@ def test_codecs_zip_and_prefix(engine, tmp_path):
             engine().check(f"SELECT * FROM {bad}")
 
 
+def test_buffered_source_may_be_its_own_sink(engine, tmp_path):
+    (tmp_path / "s.csv").write_text("a\n1\n2\n")
+    engine().run("LOAD INTO 's.csv' REPLACE AS SELECT a + 1 AS a FROM 's.csv' WITH (buffer) ORDER BY a")
+    assert (tmp_path / "s.csv").read_text() == "a\n2\n3\n"
+
+
 def test_late_bad_cell_is_an_error_of_the_run(engine, tmp_path):
     (tmp_path / "b.csv").write_text("a,b\n" + "1,2\n" * 1100 + "x,2\n")
     df = engine().sql("SELECT SUM(a) AS s FROM 'b.csv'")
@@ -162,6 +168,7 @@ def test_sql_text():
     assert jdbc.query_of(my, None, None, "SELECT 1", None) == "SELECT 1"
     assert jdbc.slices("id", 0, 99, 4, "postgres") == ['"id" < 25 OR "id" IS NULL', '"id" >= 25 AND "id" < 50', '"id" >= 50 AND "id" < 75', '"id" >= 75']
     assert len(jdbc.uuid_slices("id", 4, "postgres")) == 4
+    assert "'\"s\".\"t\"'::regclass" in jdbc.rows_query(pg, "s", "t") and "DATABASE()" in jdbc.rows_query(my, None, "t") and "OBJECT_ID(N's.t')" in jdbc.rows_query(ms, "s", "t")
     assert "ON CONFLICT (\"k\") DO UPDATE SET \"v\" = EXCLUDED.\"v\"" in sql.upsert_statement(pg, None, "t", "s", ["k", "v"], ["k"])
     assert "ON DUPLICATE KEY UPDATE `v` = VALUES(`v`)" in sql.upsert_statement(my, None, "t", "s", ["k", "v"], ["k"])
     assert sql.upsert_statement(ms, None, "t", "s", ["k", "v", "w"], ["k"], ["w"]).count("t.[v]") == 0
