@@ -27,8 +27,9 @@ def float_text(c: Column) -> Column:
     e = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int")
     large = F.when(F.length(part) <= e, F.concat(whole, part, F.repeat(F.lit("0"), e - F.length(part)))).otherwise(F.concat(whole, F.substr(part, F.lit(1), e), F.lit("."), F.substr(part, e + 1)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), whole, part)
-    plain = F.regexp_replace(s, r"\.0$", "")
-    return F.when(F.isnan(c), "nan").when(s.rlike("Infinity"), F.concat(sign, F.lit("inf"))).when(s.contains("E"), F.concat(sign, F.when(e >= 0, large).otherwise(small))).otherwise(plain)
+    # The common cases come first, and without a pattern.
+    return (F.when(s.endswith(".0"), F.substr(s, F.lit(1), F.length(s) - 2)).when(s.contains("E"), F.concat(sign, F.when(e >= 0, large).otherwise(small)))
+            .when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(s))
 
 
 def text(c: Column, t: A.Type) -> Column:
@@ -38,8 +39,8 @@ def text(c: Column, t: A.Type) -> Column:
     if t.kind == "float":
         return float_text(c)
     if t.kind == "timestamp":
-        short = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        return F.when(F.date_format(c, "SSSSSS") == "000000", short).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        s = c.cast("string")
+        return F.when(s.contains("."), F.rpad(s, F.instr(s, ".") + 6, F.lit("0"))).otherwise(s)
     if t.kind == "time":
         s = F.pmod(c, F.lit(1_000_000))
         seconds = F.floor(c / 1_000_000)

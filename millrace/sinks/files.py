@@ -101,8 +101,8 @@ def csv_line(types: dict[str, A.Type], delimiter: str):
         if t.kind == "bytes":
             s = F.base64(c)
         if t.kind in ("string", "bytes", "unknown"):
-            special = "[" + "".join("\\" + ch if ch in "\\]^-[" else ch for ch in (delimiter, '"')) + "\n\r]"
-            s = F.when(s == "", '""').when(s.rlike(special), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
+            special = s.contains(delimiter) | s.contains('"') | s.contains("\n") | s.contains("\r")
+            s = F.when(s == "", '""').when(special, F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
         elif delimiter in ".-:":
             s = F.concat(F.lit('"'), s, F.lit('"'))
         cells.append(F.coalesce(s, F.lit("")))
