@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import ngrams
 
-TRAIN_ROWS, TRAIN_CHARS = 2500, 40_000
+TRAIN_ROWS, TRAIN_CHARS = 1500, 40_000
 DIMENSIONS, EPOCHS, RATE = 12, 6, 6.0
 
 
@@ -76,7 +76,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> Model:
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """``(doc_id, score)`` for every row of ``docs``: the probability of label 1. ``labels`` has the rows to learn from."""
-    table, bias = fit(*ngrams.labelled(docs, labels, label, TRAIN_ROWS, TRAIN_CHARS)).table()
+    table, bias = ngrams.fitted(docs, labels, label, TRAIN_ROWS, TRAIN_CHARS, lambda texts, y: fit(texts, y).table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

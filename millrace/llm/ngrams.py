@@ -7,7 +7,8 @@ groups' means are averaged, so long texts weigh as short ones. A text's n-grams
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,10 +118,10 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     done = []
     for u, w in out:
         if not u:
-            done.append((np.zeros(0, np.int64), np.zeros(0)))
+            done.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
             continue
         bucket, inverse = np.unique(np.concatenate(u), return_inverse=True)
-        done.append((bucket.astype(np.int64), np.bincount(inverse, np.concatenate(w))))
+        done.append((bucket.astype(np.int32), np.bincount(inverse, np.concatenate(w)).astype(np.float32)))
     return done
 
 
@@ -129,14 +130,24 @@ def decoded(column: pa.Array) -> list[str]:
     return [(x.as_py() or b"").decode("utf-8", "replace") for x in column]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> tuple[list[str], np.ndarray]:
-    """A sample of labelled texts for the driver: at most ``rows`` of at most ``chars`` characters, the same ones each time.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, fit: Callable[[list[str], np.ndarray], object]) -> object:
+    """``fit(texts, y)`` of a sample of labelled texts: at most ``rows`` of at most ``chars`` characters, the same ones each time.
 
-    Which ones depends on a hash of doc_id; a doc_id that occurs more than once is one draw.
+    Which ones depends on a hash of doc_id; of a doc_id on several rows all texts may count, up to ``2 * rows`` in all. One task
+    fits, so that neither texts nor features come to the driver: only what ``fit`` returns does.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y"))
     drawn = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "y").limit(rows)
     # At most ``rows`` small rows, by the limit above.
     got = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.length("text") <= chars)
-    got = got.select("doc_id", "y", F.col("text").cast("binary").alias("text")).orderBy("doc_id", "y", F.xxhash64("text")).limit(2 * rows).toArrow()
-    return decoded(got["text"].combine_chunks()), np.array(got["y"].to_pylist(), float)
+    got = got.select("doc_id", "y", F.col("text").cast("binary").alias("text")).orderBy("doc_id", "y", F.xxhash64("text")).limit(2 * rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for b in batches:
+            texts += decoded(b.column(1))
+            y += b.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(y, float)))], pa.binary())], ["model"])
+
+    row = got.select(F.col("y").cast("double").alias("y"), "text").coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row[0]) if row else fit([], np.zeros(0))

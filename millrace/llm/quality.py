@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ngrams
 from .common import fresh
 
-TRAIN_ROWS, TRAIN_CHARS = 2500, 40_000
+TRAIN_ROWS, TRAIN_CHARS = 1500, 40_000
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-6
 REJECT_BELOW = 0.3
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -71,7 +72,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
             seen_b += g * g
             b -= RATE * g / np.sqrt(seen_b)
     z = np.array([w[u] @ v + b for u, v in x])
-    return Model(w, b, *platt(z[held] if held.any() else z, y[held] if held.any() else y))
+    return Model(w.astype(np.float32), b, *platt(z[held] if held.any() else z, y[held] if held.any() else y))
 
 
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -128,14 +129,13 @@ def repeated(words: list[bytes]) -> int:
 
 def judge(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
     """``docs`` plus the columns of ``FIELDS``, which are prefixed with ``_`` where ``docs`` has such ones."""
-    model = fit(*ngrams.labelled(docs, labels, "quality", TRAIN_ROWS, TRAIN_CHARS))
-    model.weights = model.weights.astype(np.float32)
+    model = ngrams.fitted(docs, labels, "quality", TRAIN_ROWS, TRAIN_CHARS, fit)
     names = fresh(docs, *(x.split()[0] for x in FIELDS.split(", ")))
     raw = fresh(docs, "raw_text")[0]
     kept_columns = docs.columns
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in zip(names, (x.split()[1] for x in FIELDS.split(", ")), strict=True):
-        schema = type(schema)(schema.fields).add(name, kind)
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
