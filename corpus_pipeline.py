@@ -10,31 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import mixing, packing, paritysketch, quality, secrets
-from millrace.llm.common import read, table
+from millrace.llm.common import frugal, read, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or that the trained regression rejects, go."""
+    frugal(spark)
     return quality.keep(docs, read(spark, sf_dir, "labels"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingles are similar to 0.8 or more, the one with the least doc_id stays."""
+    frugal(spark)
     return paritysketch.keep_first(docs, k=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; no document goes."""
+    frugal(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target weight asks: none, once or twice."""
+    frugal(spark)
     return mixing.mix_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens; a document that the mix has twice is packed twice."""
+    frugal(spark)
     return packing.pack(docs)
 
 

@@ -28,13 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the lineage and outlives executors."""
+#: Rows of a small table that go into one file.
+ROWS_A_FILE = 1_000_000
+
+
+def table(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts the lineage and outlives executors.
+
+    ``parts`` bounds the number of files, for what is known to be small.
+    """
     path = f"{shared_dir(df.sparkSession)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df if parts is None else df.coalesce(parts)
+    out.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(df: DataFrame) -> int:
+    """How many files hold at most as many narrow rows as a table that is read already has."""
+    return max(1, -(-df.count() // ROWS_A_FILE))
+
+
 class Held:
     """Frames that are read more than once, kept on executors' disks until ``free()``.
 
@@ -64,7 +77,19 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that readers and Arrow hold at a time. Texts run to megabytes, so the defaults of 4096 and 10000 rows have no useful bound.
+FRUGAL = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
+
+
+def frugal(spark: SparkSession) -> None:
+    """Sets ``FRUGAL`` on the session, where it was not set smaller."""
+    for k, v in FRUGAL.items():
+        if int(spark.conf.get(k, "1000000")) > int(v):
+            spark.conf.set(k, v)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    frugal(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

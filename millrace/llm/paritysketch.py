@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Held, drop_table, table
+from .common import Held, drop_table, parts_for, table
 
 #: Ratio of the bounds of a size band, and bits of a block.
 BAND, BLOCK = 1.3, 32
@@ -307,11 +307,13 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "label").mapInArrow(run, "a long, b long").distinct()
 
 
-def texts_of(needed: DataFrame, docs: DataFrame, of: DataFrame, held: Held) -> DataFrame:
-    """``(sid, text)``: a text for each set of ``needed``, and maybe others that share its doc_id."""
-    chosen = held(of.where("n > 0 and doc_id is not null").join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+def perhaps(ids: DataFrame):
+    """A condition on doc_id that holds for all of ``ids``' and for few others, by a bitmap of fixed size.
+
+    It is bounded by ``BITMAP`` whatever the number of ids; many ids only make it let more through.
+    """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-    words = chosen.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits"))
+    words = ids.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits"))
     bitmap = np.zeros(BITMAP // 64, np.int64)
     got = words.toArrow()  # at most BITMAP / 64 rows
     bitmap[got["w"].to_numpy()] = got["bits"].to_numpy()
@@ -321,7 +323,12 @@ def texts_of(needed: DataFrame, docs: DataFrame, of: DataFrame, held: Held) -> D
         s = spot.to_numpy()
         return pd.Series((bitmap[s >> 6] >> (s & 63)) & 1 == 1)
 
-    return _texts(docs, slot.alias("slot")).where(F.col("doc_id").isNotNull() & maybe("slot")).drop("slot").join(chosen, "doc_id").select("sid", "text")
+    return maybe(slot)
+
+
+def chosen_of(needed: DataFrame, of: DataFrame) -> DataFrame:
+    """``(sid, doc_id)``: one document for each set of ``needed``."""
+    return of.where("n > 0 and doc_id is not null").join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
 
 def sketches(needed: DataFrame, docs: DataFrame, of: DataFrame, k: int, held: Held) -> DataFrame:
@@ -333,14 +340,21 @@ def sketches(needed: DataFrame, docs: DataFrame, of: DataFrame, k: int, held: He
             own = [i for i, h in enumerate(hashes) if set_id(h) == b.column(0)[i].as_py()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([len(hashes[i]) for i in own], pa.int64()), pa.array([sketch(hashes[i]) for i in own], pa.binary())], ["sid", "n", "sketch"])
 
-    return texts_of(needed, docs, of, held).mapInArrow(run, "sid long, n long, sketch binary").dropDuplicates(["sid"])
+    chosen = held(chosen_of(needed, of))
+    # Hinted so that the plan is the same at every size.
+    texts = _texts(docs).where(perhaps(chosen)).join(chosen.hint("merge"), "doc_id").select("sid", "text")
+    return texts.mapInArrow(run, "sid long, n long, sketch binary").dropDuplicates(["sid"])
 
 
 def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: int, held: Held) -> DataFrame:
     """Those of ``pairs`` whose sets are as similar as asked, by the texts of one document each."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, of, held)
-    left, right = (texts.select(F.col("sid").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    chosen = held(chosen_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), of))
+    # Both joins are on the documents' ids, so that texts are dealt out once for both.
+    texts = _texts(docs).where(perhaps(chosen))
+    for side in "ab":
+        pairs = pairs.join(chosen.select(F.col("sid").alias(side), F.col("doc_id").alias(f"doc_{side}")), side)
+    both = pairs.hint("merge").join(texts, F.col("doc_a") == F.col("doc_id")).select("a", "b", "doc_b", F.col("text").alias("text_a"))
+    both = both.hint("merge").join(texts, F.col("doc_b") == F.col("doc_id")).select("a", "b", "text_a", F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows of one set mostly come together, so the last set of each side is kept.
@@ -362,7 +376,7 @@ def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: in
             if got.num_rows:
                 yield got
 
-    return table(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    return table(both.mapInArrow(run, "a long, b long").distinct(), "links", parts_for(pairs))
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -370,7 +384,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
     Alternating large and small stars; each round is a table, so lost executors cost no more than a round.
     """
-    edges, mark = links.select("a", "b"), None
+    edges, mark, parts = links.select("a", "b"), None, parts_for(links)
     for _ in range(most):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -378,7 +392,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select("b", "m").where("b != m").toDF("a", "b").union(low.select("a", "m").toDF("a", "b")).distinct()
-        new = table(small, "stars")
+        new = table(small, "stars", parts)
         now = new.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
         if mark is not None:
             drop_table(edges)
@@ -397,7 +411,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     found = held(stars(keys(docs, k, percent)))
     pairs = held(found.where("kind = 0").select("a", "b").distinct())
     links = verify(pairs, docs, of, k, percent, held)
-    label = table(components(links), "labels")
+    label = table(components(links), "labels", parts_for(links))
     # Runs with sets of several components may hide links that the stars left out.
     again = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), F.col("c").alias("chain"))
     again = held(again.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("label", "sid").alias("label"), "sid", "chain"))
@@ -407,10 +421,10 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     more = across(again.join(whole, "sid").select("key", "label", "sid", "chain", "n", "sketch"), percent)
     more = held(more.join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = table(links.union(verify(more, docs, of, k, percent, held)), "links")
-        label = table(components(links), "labels")
+        links = links.union(verify(more, docs, of, k, percent, held))
+        label = table(components(links), "labels", parts_for(links))
     own = of.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label"))
-    own = table(own, "labelled")
+    own = table(own, "labelled", parts_for(of))
     held.free()
     first = own.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
     # Documents without shingles have no label and join nothing.
@@ -422,12 +436,17 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Of several rows with that doc_id the text that is least stays, once.
     """
-    joined = table(join(docs, k, percent), "joined")
+    joined = join(docs, k, percent)
+    joined = table(joined, "joined", parts_for(docs))
     grouped = joined.where("n_shingles > 0 and doc_id is not null")
     dropped = grouped.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # Only documents whose id may be among the dropped are dealt out to look.
+    hit = F.coalesce(perhaps(dropped), F.lit(False))
+    parts = docs._jdf.queryExecution().toRdd().getNumPartitions()
+    looked = docs.where(hit).join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns).coalesce(max(1, parts))
+    kept = docs.where(~hit).union(looked)
     twice = grouped.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = table(twice, "twice")
+    twice = table(twice, "twice", 1)
     if not twice.limit(1).count():
         return kept
     # A doc_id on several rows that share a component; such ids are few, but their rows may be many: one is chosen by aggregation.
