@@ -20,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, n_words, table, uniform
+from .common import fresh, n_words, parts_for, table, uniform
 
 MAX_COPIES = 2.0
 CLASSES = 48
-BINS = 1024
+BINS = 2048
 NEWTON_STEPS = 60
 TOLERANCE = 1e-9
 #: A parameter table of at most this many sources is broadcast; beyond, Spark joins as it sees fit.
@@ -65,7 +65,7 @@ def rate(lam: Column, size: Column, mean: Column, full: Column, most: float = MA
     return F.when(size == 0, F.lit(1.0)).when(full, F.lit(float(most))).otherwise(tilt)
 
 
-def solve(sizes: DataFrame, targets: DataFrame, most: float = MAX_COPIES) -> DataFrame:
+def solve(sizes: DataFrame, targets: DataFrame, most: float = MAX_COPIES, parts: int | None = None) -> DataFrame:
     """``(source, source_size, target, mean, full, lam)``: Newton on the dual, all sources at once.
 
     ``sizes`` is ``(source, size, n)``, a row for each size that a source has. A step that leaves the
@@ -78,14 +78,14 @@ def solve(sizes: DataFrame, targets: DataFrame, most: float = MAX_COPIES) -> Dat
         ((F.col("target") >= most * F.col("source_size") * (1 - 1e-12)) | (F.col("source_size") == 0)).alias("full"),
         F.lit(0.0).alias("lam"), null.alias("low"), null.alias("high"), F.lit(1.0).alias("err"),
     )
-    params = table(params, "mix-params")
+    params = table(params, "mix-params", parts)
     for _ in range(NEWTON_STEPS):
         p = params.alias("p")
         x = F.col("s.size") / F.greatest(F.col("p.mean"), F.lit(1e-9))
         w = rate(F.col("p.lam"), F.col("s.size"), F.col("p.mean"), F.col("p.full"), most)
         sums = F.col("s.n") * F.col("s.size")
         step = sizes.alias("s").join(p, F.col("s.source").eqNullSafe(F.col("p.source"))).where(~F.col("p.full")).groupBy(F.col("p.source").alias("source")).agg(
-            F.sum(sums * w).alias("got"), F.sum(F.when(w < most, sums * w * x).otherwise(0.0)).alias("slope")
+            _exact(sums * w).alias("got"), _exact(F.when(w < most, sums * w * x).otherwise(0.0)).alias("slope")
         ).alias("t")
         j = p.join(step, F.col("p.source").eqNullSafe(F.col("t.source")), "left")
         gap = F.col("got") - F.col("target")
@@ -96,7 +96,7 @@ def solve(sizes: DataFrame, targets: DataFrame, most: float = MAX_COPIES) -> Dat
         halved = F.when(low.isNull(), high - 1 - F.abs(high)).when(high.isNull(), low + 1 + F.abs(low)).otherwise((low + high) / 2)
         inside = newton.isNotNull() & ~F.isnan(newton) & (low.isNull() | (newton > low)) & (high.isNull() | (newton < high)) & (F.abs(newton) < 1e6)
         lam = F.when(err <= TOLERANCE, F.col("lam")).when(inside, newton).otherwise(halved)
-        params = table(j.select(F.col("p.source").alias("source"), "source_size", "target", "mean", "full", lam.alias("lam"), low.alias("low"), high.alias("high"), err.alias("err")), "mix-params")
+        params = table(j.select(F.col("p.source").alias("source"), "source_size", "target", "mean", "full", lam.alias("lam"), low.alias("low"), high.alias("high"), err.alias("err")), "mix-params", parts)
         if not params.where(F.col("err") > TOLERANCE).limit(1).count():
             break
     return params.select("source", "source_size", "target", "mean", "full", "lam")
@@ -107,40 +107,49 @@ def _class(size: Column) -> Column:
 
 
 def _bin(u: Column, part: Column) -> Column:
-    return F.least(F.floor(u / F.greatest(part, F.lit(1e-12)) * (BINS // 2)), F.lit(BINS - 1)).cast("int")
+    """The bin of a document by ``u / (u + part)``: those below a half are due a further copy, and all others follow in order."""
+    return F.floor(u / (u + part) * BINS).cast("int")
+
+
+def _exact(x: Column) -> Column:
+    """A sum that does not depend on the order of its terms: of whole multiples of 2^-20."""
+    return F.sum(F.round(x * float(1 << 20)).cast("decimal(38,0)")).cast("double") / float(1 << 20)
 
 
 def cuts(docs: DataFrame, params: DataFrame, most: float = MAX_COPIES) -> DataFrame:
     """``params`` plus ``cut``: for each size class of a source the bin below which a document gets a further copy.
 
     Per class the bins' words are summed; from the largest class down, the cut is taken at which the words come
-    nearest to what the class should give plus what the larger ones left over.
+    nearest to what the class should give plus what the larger ones left over, with no more left than smaller classes have.
     """
     w = F.col("rate")
     part = w - F.floor(w)
     open_ = docs.where((F.col("size") > 0) & (w < most)).select(
         "source", _class(F.col("size")).alias("k"), _bin(F.col("u"), part).alias("bin"), "size", (part * F.col("size")).alias("due"))
-    bins = open_.groupBy("source", "k", "bin").agg(F.sum("size").cast("double").alias("words"), F.sum("due").alias("due"))
-    classes = bins.groupBy("source", "k").agg(F.sum("due").alias("due"), F.sort_array(F.collect_list(F.struct("bin", "words"))).alias("bins"))
-    hists = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("k", "due", "bins")), asc=False).alias("hist"))
+    bins = open_.groupBy("source", "k", "bin").agg(F.sum("size").cast("double").alias("words"), _exact(F.col("due")).alias("due"))
+    classes = bins.groupBy("source", "k").agg(_exact(F.col("due")).alias("due"), F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("bin", "words"))).alias("bins"))
+    hists = classes.groupBy("source").agg(F.sum("words").alias("all"), F.sort_array(F.collect_list(F.struct("k", "due", "words", "bins")), asc=False).alias("hist"))
 
-    def cut_of(need):
-        """Fold over a class's bins: the cut with the words below it nearest to ``need``."""
+    def cut_of(need, rest):
+        """Fold over a class's bins: the cut with the words below it nearest to ``need``, among those that smaller classes can make up for if there are such."""
         def step(a, b):
             total = a["total"] + b["words"]
-            gap = F.abs(total - need)
-            better = gap < a["gap"]
-            return F.struct(total.alias("total"), F.when(better, gap).otherwise(a["gap"]).alias("gap"), F.when(better, b["bin"] + 1).otherwise(a["cut"]).alias("cut"), F.when(better, total).otherwise(a["took"]).alias("took"))
+            gap = need - total
+            fine = (gap >= 0) & (gap <= rest)
+            better = (fine & ~a["fine"]) | ((fine == a["fine"]) & (F.abs(gap) < F.abs(a["gap"])))
+            keep = lambda new, old: F.when(better, new).otherwise(a[old]).alias(old)
+            return F.struct(total.alias("total"), keep(gap, "gap"), keep(fine, "fine"), keep(b["bin"] + 1, "cut"))
 
         return step
 
     def per_class(acc, c):
-        need = acc["carry"] + c["due"]
-        best = F.aggregate(c["bins"], F.struct(F.lit(0.0).alias("total"), F.abs(need).alias("gap"), F.lit(0).alias("cut"), F.lit(0.0).alias("took")), cut_of(need))
+        need, rest = acc["carry"] + c["due"], acc["rest"] - c["words"]
+        start = F.struct(F.lit(0.0).alias("total"), need.alias("gap"), ((need >= 0) & (need <= rest)).alias("fine"), F.lit(0).alias("cut"))
+        best = F.aggregate(c["bins"], start, cut_of(need, rest))
         # One evaluation of the inner fold serves both fields.
-        return F.element_at(F.transform(F.array(best), lambda b: F.struct((need - b["took"]).alias("carry"), F.concat(acc["cut"], F.array(F.struct(c["k"].alias("k"), b["cut"].alias("cut")))).alias("cut"))), 1)
+        return F.element_at(F.transform(F.array(best), lambda b: F.struct(b["gap"].alias("carry"), rest.alias("rest"), F.concat(acc["cut"], F.array(F.struct(c["k"].alias("k"), b["cut"].alias("cut")))).alias("cut"))), 1)
 
-    none = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<k:int,cut:int>>").alias("cut"))
+    none = F.struct(F.lit(0.0).alias("carry"), F.col("all").alias("rest"), F.array().cast("array<struct<k:int,cut:int>>").alias("cut"))
     found = hists.select("source", F.map_from_entries(F.aggregate("hist", none, per_class, lambda a: a["cut"])).alias("cut"))
     p, f = params.alias("p"), found.alias("f")
     return p.join(f, F.col("p.source").eqNullSafe(F.col("f.source")), "left").select("p.*", "f.cut")
@@ -154,15 +163,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total: fl
     names = fresh(docs, "size", "source_size", "target", "rate", "copies")
     size = n_words(F.col("text"))
     keyed = table(docs.select("source", size.alias("size"), uniform(F.col("doc_id"), size).alias("u")), "mix-sizes")
-    sizes = table(keyed.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
+    sizes = keyed.groupBy("source", "size").agg(F.count("*").alias("n"))
+    sizes = table(sizes, "mix-counts", parts_for(keyed))
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
-    params = solve(sizes, share_targets(sources, weights, total, most), most)
-    few = params.count() <= BROADCAST_SOURCES
+    few = sources.count() <= BROADCAST_SOURCES
+    parts = 1 if few else None
+    params = solve(sizes, share_targets(sources, weights, total, most), most, parts)
     small = (lambda d: F.broadcast(d)) if few else (lambda d: d)
     q = small(params).alias("p")
     rated = keyed.alias("d").join(q, F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", rate(F.col("lam"), F.col("d.size"), F.col("mean"), F.col("full"), most).alias("rate"))
     # The parameters' one column cannot clash with those of docs.
-    c = table(cuts(rated, params, most).select(F.struct(*params.columns, "cut").alias("_mix")), "mix-cuts")
+    c = table(cuts(rated, params, most).select(F.struct(*params.columns, "cut").alias("_mix")), "mix-cuts", parts)
     out = docs.withColumn("_mix_size", size)
     out = out.join(small(c), out["source"].eqNullSafe(F.col("_mix.source")))
     n = F.col("_mix_size")
