@@ -69,4 +69,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_jaccard_join, op7_html_extraction, op8_mixing, op9_chat_formatting, op10_secret_scans,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can say the same. The others hold trained models or packing; tests/llm has brute force for them.
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": """
+        WITH codes AS (SELECT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS c FROM embeddings),
+        pairs AS (SELECT q.vec_id AS query_id, r.vec_id AS id, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST(q.c[i] <> r.c[i] AS INTEGER))) AS INTEGER) AS distance
+                  FROM codes q CROSS JOIN codes r WHERE q.vec_id % 20 = 0),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM pairs)
+        SELECT query_id, id, distance, rank FROM ranked WHERE rank <= 10""",
+    "op6_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+        one AS (SELECT doc_id, unnest(s) AS g FROM s),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+        pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT x, b FROM reach JOIN pairs ON y = a)
+        SELECT s.doc_id, len(any_value(s.s)) AS n_shingles, min(y) AS component_id FROM s JOIN reach ON x = s.doc_id GROUP BY s.doc_id""",
+    "op9_chat_formatting": r"""
+        WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                      UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        sized AS (SELECT *, 24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')) AS n FROM rows),
+        summed AS (SELECT *, sum(n) OVER w AS upto, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS last FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(upto) FILTER (role = 'assistant' OR last) AS BIGINT) AS formatted_chars
+        FROM summed GROUP BY conv_id""",
+}

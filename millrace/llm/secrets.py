@@ -28,7 +28,7 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*[A-Za-z0-9+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
-THRESHOLD = 0.35
+THRESHOLD = 0.5
 SAMPLES = 4000
 
 # Words that ordinary identifiers are made of.
@@ -165,7 +165,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     clean = F.aggregate(F.col(spans), start, step, lambda a: F.concat(a["out"], F.substr(t, (a["at"] + 1).cast("int"))))
     hit = F.size(spans) > 0
-    out = {text: F.when(hit, clean).otherwise(F.col(text))}
+    out = found.withColumn(text, F.when(hit, clean).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(hit, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(out).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
