@@ -1,15 +1,15 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has one bit a dimension: whether the component is above 0. Codes are cut into segments, each
-with a hash index of its own. A query probes every segment with all values within radius 0, then 1, and so on;
-a code that shares no segment within radius r differs in at least ``(r + 1) * segments`` bits. So a query is done
-once its k-th verified distance is below that, or equal with the tie rule already met: a tie at the same distance
-could have a smaller id, so ``<`` is asked for. Queries that are done leave; the others grow their radius.
+A vector's code has one bit a dimension: whether the component is above 0. Codes are cut into m segments, each
+with a hash index of its own. The segments' search radii grow one after the other: once the first j + 1 have radius a
+and the others a - 1, every code within ``m * a + j`` bits has been met, as a farther one differs by more in each segment.
+A query is done, and leaves, when its k-th verified distance is covered that way; that takes in all its ties.
 
-Equal codes are one entry of the index that keeps the ``k`` smallest ids (no other can be among the k nearest) and
-equal query codes are searched once, so copies, however many, make no larger bucket. Where so many codes share a
-segment's value that probing costs more than looking at every code (``DENSE``), the rest of the queries is verified
-against all distinct codes in blocks: a stated query set against all rows.
+Segments are a little narrower than the number of distinct codes has bits, so that a value is shared by a few codes
+and probing stays below linear. Equal codes are one entry of the index that keeps the ``k`` smallest ids (no other can be among
+the k nearest) and equal query codes are searched once, so copies, however many, make no larger bucket. Once a radius
+would probe more values than there are codes (``n``), the queries that are left are held against all distinct codes in
+blocks: a stated query set against all rows.
 
 Defined results: null vectors, and null components, count as bits that are 0; vectors are cut or filled with 0 bits to
 the number of bits of the code; ties go by id; rows with a null id are not indexed; a query finds itself at
@@ -18,18 +18,21 @@ distance 0 as any other row; fewer than k rows are all returned; an empty table
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ROWS_A_FILE, parts_for, table
 
-BITS, SEGMENT = 64, 8
-#: A round whose probes would verify more than this share of all pairs of a query and a code is given up for one look at all.
-DENSE = 0.5
-#: Codes that a look at all holds against the queries at a time.
-BLOCK = 2048
+BITS = 64
+#: Logarithm of how many codes should share a segment's value: looking at a code is cheaper than dealing out a probe.
+SHARED = 2.5
+#: Codes, and query codes, that a look at all holds against each other at a time.
+BLOCK, QUERIES = 1024, 128
 
 
 def code_of(vector: Column, bits: int = BITS) -> Column:
@@ -41,11 +44,23 @@ def code_of(vector: Column, bits: int = BITS) -> Column:
     return code
 
 
-def segment(code: Column, i: int, width: int = SEGMENT) -> Column:
-    return F.shiftrightunsigned(code, i * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+def widths(n: int, bits: int = BITS) -> list[int]:
+    """The segments' widths for ``n`` distinct codes."""
+    count = min(bits, max(1, round(bits / max(2.0, math.log2(max(n, 2)) - SHARED))))
+    return [bits // count + (i < bits % count) for i in range(count)]
 
 
-def masks(radius: int, width: int = SEGMENT) -> list[int]:
+def segments(code: Column, sizes: list[int]) -> Column:
+    """``array<struct<seg, value>>`` of a code."""
+    out, at = [], 0
+    for i, w in enumerate(sizes):
+        value = F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << w) - 1)) if w < 64 else code
+        out.append(F.struct(F.lit(i).alias("seg"), value.cast("long").alias("value")))
+        at += w
+    return F.array(*out)
+
+
+def masks(radius: int, width: int) -> list[int]:
     """All differences of exactly ``radius`` bits in a segment."""
     return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
 
@@ -77,38 +92,63 @@ def best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
+def steps(sizes: list[int], small: int = 200, large: int = 4000) -> Iterator[tuple[list[tuple[int, list[int]]], int]]:
+    """``(segment, masks)`` pairs to probe next, and the distance that is covered after them.
+
+    All radii of few masks go together, to spare rounds; from ``large`` masks on half of the segments go at a time.
+    """
+    m = len(sizes)
+    held: list[list[int]] = [[] for _ in sizes]
+    for radius in range(max(sizes) + 1):
+        each = [masks(radius, w) for w in sizes]
+        if radius < max(sizes) and max(math.comb(w, radius + 1) for w in sizes) <= small:
+            held = [a + b for a, b in zip(held, each, strict=True)]
+            continue
+        each = [a + b for a, b in zip(held, each, strict=True)]
+        held = [[] for _ in sizes]
+        cut = m if sum(map(len, each)) <= large else -(-m // 2)
+        for j in range(0, m, cut):
+            yield [(i, each[i]) for i in range(j, min(j + cut, m))], m * radius + min(j + cut, m) - 1
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -> DataFrame:
     """``(query_id, id, distance, rank)``: for every query row its ``k`` nearest rows.
 
     ``rows`` and ``queries`` are ``(id, code)``.
     """
     spark = rows.sparkSession
-    index = table(first_ids(rows.where(F.col("id").isNotNull()), k), "codes").withColumn("first", F.element_at("ids", 1))
+    rows = rows.where(F.col("id").isNotNull())
+    index = table(first_ids(rows, k), "codes", parts_for(rows)).withColumn("first", F.element_at("ids", 1))
     n = index.count()
-    segments = -(-bits // SEGMENT)
-    posting = lambda d, name: d.select("*", F.posexplode(F.array(*[segment(F.col(name), i) for i in range(segments)])).alias("seg", "value"))
-    entries = table(posting(index.select("code", "first"), "code"), "segments")
-    sizes = entries.groupBy("seg", "value").count().withColumnRenamed("count", "size")
-    open_ = table(queries.select(F.col("code").alias("query")).distinct(), "queries")
-    found = None
-    for radius in range(SEGMENT + 1):
-        left = open_.count()
-        if not left:
+    sizes = widths(n, bits)
+    entries = table(index.select("code", "first", F.inline(segments(F.col("code"), sizes))), "segments", -(-n * len(sizes) // ROWS_A_FILE) or 1)
+    # ``worst`` is the distance of the k-th entry so far: nothing farther is of use.
+    asked_codes = table(queries.select(F.col("code").alias("query")).distinct(), "queries", parts_for(queries))
+    open_ = asked_codes.withColumn("worst", F.lit(None).cast("int"))
+    parts = -(-asked_codes.count() * k // ROWS_A_FILE) or 1
+    found, probed = None, 0
+    for probe, covered in steps(sizes):
+        if not open_.limit(1).count():
             break
-        probes = posting(open_, "query").select("query", "seg", F.explode(F.transform(F.array(*map(F.lit, masks(radius))), lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
-        cost = probes.join(sizes, ["seg", "value"]).agg(F.sum("size")).first()[0] or 0
-        if cost > DENSE * left * n:
-            # Codes in blocks against the queries that are left; each block keeps k entries a query.
-            near = everything(index.select("code", "first"), open_, k)
-            found = near if found is None else best(found.join(open_, "query", "left_anti").unionByName(near), k)
+        probed += sum(len(x) for _, x in probe)
+        if probed > n:
+            near = everything(index.select("code", "first"), open_.select("query"), k)
+            found = near if found is None else found.join(open_, "query", "left_anti").unionByName(near)
             break
-        near = probes.join(entries, ["seg", "value"]).select("query", "code", "first").distinct().withColumn("distance", distance(F.col("query"), F.col("code")))
+        by_segment = F.from_json(F.lit(json.dumps([x for _, x in probe])), "array<array<bigint>>")
+        own = F.filter(segments(F.col("query"), sizes), lambda x: x["seg"].isin([j for j, _ in probe]))
+        probes = open_.select("query", "worst", F.posexplode(own).alias("at", "x"))
+        probes = probes.select("query", "worst", F.col("x.seg").alias("seg"), F.col("x.value").alias("own"), F.explode(F.element_at(by_segment, F.col("at") + 1)).alias("mask"))
+        probes = probes.select("query", "worst", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        far = distance(F.col("query"), F.col("code"))
+        # Exploded rows look as small to the planner as what they come from, so it must not broadcast them.
+        near = probes.join(entries.hint("merge"), ["seg", "value"]).where(F.col("worst").isNull() | (far <= F.col("worst"))).select("query", "code", "first", far.alias("distance"))
         if found is not None:
-            near = near.unionByName(found.select("query", "code", "first", "distance")).distinct()
-        found = table(best(near, k), "hits")
-        # A code that no probe has met yet differs in at least (radius + 1) bits in every segment.
-        done = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("worst")).where((F.col("n") >= min(k, n)) & (F.col("worst") < (radius + 1) * segments))
-        open_ = table(open_.join(done, "query", "left_anti"), "queries")
+            near = near.unionByName(found)
+        found = table(best(near.distinct(), k), "hits", parts)
+        state = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        left = asked_codes.join(state, "query", "left").where(F.col("n").isNull() | (F.col("n") < min(k, n)) | (F.col("far") > covered))
+        open_ = left.select("query", F.when(F.col("n") >= k, F.col("far")).alias("worst"))
     if found is None:
         return spark.createDataFrame([], "query_id long, id long, distance int, rank int")
     hits = found.join(index.select("code", "ids"), "code").select("query", "distance", F.explode("ids").alias("id"))
@@ -119,15 +159,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -
 
 
 def everything(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` entries of each query by looking at all codes, in blocks of them.
+    """The best ``k`` entries of each query by looking at all codes.
 
     Blocks of codes meet blocks of queries; each pair of blocks is a row of its own, and of it only the ``k`` best
     entries a query come out.
     """
-    block = lambda d, c, n, out: d.withColumn("block", F.floor(F.pmod(F.xxhash64(c), F.lit(1 << 30)) / F.lit((1 << 30) / n)).cast("int")).groupBy("block").agg(F.collect_list(out).alias("part"))
-    n, q = max(1, -(-codes.count() // BLOCK)), max(1, -(-queries.count() // 256))
-    left = block(codes, "code", n, F.struct("first", "code")).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
-    right = block(queries, "query", q, F.col("query")).select(F.col("block").alias("to"), F.explode("part").alias("query"))
-    pairs = left.join(right, "to")
+    def blocks(d: DataFrame, key: str, n: int, value: Column, out: str) -> DataFrame:
+        return d.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"block_{out}")).agg(F.collect_list(value).alias(out))
+
+    n, q = max(1, -(-codes.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
+    left = blocks(codes, "code", n, F.struct("first", "code"), "part").withColumn("block_asked", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
+    pairs = left.join(blocks(queries, "query", q, F.col("query"), "asked"), "block_asked").repartition(n * q)
+    each = pairs.select("part", F.explode("asked").alias("query"))
     ranked = F.slice(F.sort_array(F.transform("part", lambda c: F.struct(distance(c["code"], F.col("query")).alias("distance"), c["first"].alias("first"), c["code"].alias("code")))), 1, k)
-    return best(pairs.select("query", F.explode(ranked).alias("x")).select("query", "x.code", "x.first", "x.distance"), k)
+    return best(each.select("query", F.inline(ranked)).select("query", "code", "first", "distance"), k)
