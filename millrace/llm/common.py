@@ -45,7 +45,11 @@ def table(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
 
 def parts_for(df: DataFrame) -> int:
     """How many files hold at most as many narrow rows as a table that is read already has."""
-    return max(1, -(-df.count() // ROWS_A_FILE))
+    return files_for(df.count())
+
+
+def files_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_FILE))
 
 
 class Held:

@@ -12,7 +12,8 @@ read as a stream. In a run not all pairs come out but stars: every set is paired
 the run that it passes with. After verification and components, those runs that still hold sets of different
 components are gone through once more, now for pairs across components whose whole sketches are near enough, so no
 link is lost and no large group is written out pair by pair. Copies have one set, which each task sends once. A hot group is spread over the hundreds
-of keys that each of its sets has. Components come from alternating stars over tables; nothing is collected
+of keys that each of its sets has. Components come from alternating stars over tables (a million links and less: from
+one task); nothing is collected
 but a bitmap of fixed size, which only spares texts that surely are not needed a shuffle.
 
 Sets and shingles go by 64-bit hashes (sets together with their size).
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Held, drop_table, parts_for, table
+from .common import Held, drop_table, files_for, parts_for, table
 
 #: Ratio of the bounds of a size band, and bits of a block.
 BAND, BLOCK = 1.3, 32
@@ -346,7 +347,7 @@ def sketches(needed: DataFrame, docs: DataFrame, of: DataFrame, k: int, held: He
     return texts.mapInArrow(run, "sid long, n long, sketch binary").dropDuplicates(["sid"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: int, held: Held) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: int, held: Held, parts: int) -> DataFrame:
     """Those of ``pairs`` whose sets are as similar as asked, by the texts of one document each."""
     chosen = held(chosen_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), of))
     # Both joins are on the documents' ids, so that texts are dealt out once for both.
@@ -376,15 +377,40 @@ def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: in
             if got.num_rows:
                 yield got
 
-    return table(both.mapInArrow(run, "a long, b long").distinct(), "links", parts_for(pairs))
+    return table(both.mapInArrow(run, "a long, b long").distinct(), "links", parts)
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(node, label)`` of the links of one task."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while up.setdefault(root, root) != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], ["node", "label"])
+
+
+def components(links: DataFrame, parts: int = 1, most: int = 60) -> DataFrame:
     """``(node, label)`` of every node of the links ``(a, b)``: the label is the least node of its component.
 
-    Alternating large and small stars; each round is a table, so lost executors cost no more than a round.
+    Links of one file (``ROWS_A_FILE`` at most) are joined in one task. More take alternating large and small stars; each
+    round is a table of ``parts`` files, so lost executors cost no more than a round.
     """
-    edges, mark, parts = links.select("a", "b"), None, parts_for(links)
+    if parts == 1:
+        return links.select("a", "b").coalesce(1).mapInArrow(forest, "node long, label long")
+    edges, mark = links.select("a", "b"), None
     for _ in range(most):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -410,8 +436,11 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     of = held(sets(docs, k))
     found = held(stars(keys(docs, k, percent)))
     pairs = held(found.where("kind = 0").select("a", "b").distinct())
-    links = verify(pairs, docs, of, k, percent, held)
-    label = table(components(links), "labels", parts_for(links))
+    # Every plan over kept frames carries theirs along, so each is counted once only.
+    total = pairs.count()
+    parts = files_for(total)
+    links = verify(pairs, docs, of, k, percent, held, parts)
+    label = table(components(links, parts), "labels", parts)
     # Runs with sets of several components may hide links that the stars left out.
     again = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), F.col("c").alias("chain"))
     again = held(again.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("label", "sid").alias("label"), "sid", "chain"))
@@ -420,11 +449,13 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     whole = sketches(again.select("sid").distinct(), docs, of, k, held)
     more = across(again.join(whole, "sid").select("key", "label", "sid", "chain", "n", "sketch"), percent)
     more = held(more.join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = links.union(verify(more, docs, of, k, percent, held))
-        label = table(components(links), "labels", parts_for(links))
+    n = more.count()
+    if n:
+        links = links.union(verify(more, docs, of, k, percent, held, files_for(n)))
+        parts = files_for(total + n)
+        label = table(components(links, parts), "labels", parts)
     own = of.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label"))
-    own = table(own, "labelled", parts_for(of))
+    own = table(own, "labelled", files_for(of.count()))
     held.free()
     first = own.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
     # Documents without shingles have no label and join nothing.

@@ -86,8 +86,9 @@ def test_components_of_links(spark):
     for a, b in links:
         x, y = find(a), find(b)
         up[max(x, y)] = min(x, y)
-    got = {r.node: r.label for r in P.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {n: find(n) for n in up}
+    for parts in (1, 2):
+        got = {r.node: r.label for r in P.components(spark.createDataFrame(links, "a long, b long"), parts).collect()}
+        assert got == {n: find(n) for n in up}
 
 
 def test_edges(spark):
