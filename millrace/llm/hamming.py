@@ -125,7 +125,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -
     # ``worst`` is the distance of the k-th entry so far: nothing farther is of use.
     asked_codes = table(queries.select(F.col("code").alias("query")).distinct(), "queries", parts_for(queries))
     open_ = asked_codes.withColumn("worst", F.lit(None).cast("int"))
-    parts = -(-asked_codes.count() * k // ROWS_A_FILE) or 1
     found, probed = None, 0
     for probe, covered in steps(sizes):
         if not open_.limit(1).count():
@@ -145,7 +144,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -
         near = probes.join(entries.hint("merge"), ["seg", "value"]).where(F.col("worst").isNull() | (far <= F.col("worst"))).select("query", "code", "first", far.alias("distance"))
         if found is not None:
             near = near.unionByName(found)
-        found = table(best(near.distinct(), k), "hits", parts)
+        found = table(best(near.distinct(), k), "hits")
         state = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         left = asked_codes.join(state, "query", "left").where(F.col("n").isNull() | (F.col("n") < min(k, n)) | (F.col("far") > covered))
         open_ = left.select("query", F.when(F.col("n") >= k, F.col("far")).alias("worst"))
