@@ -32,8 +32,8 @@ WINDOW = 2048
 CLOSING = 1
 #: Bounds of a shard: documents and token ids (two bytes each).
 SHARD_DOCS, SHARD_IDS = 4096, 8 << 20
-#: Terms of a seed that are looked up, the rarest and most frequent first; and neighbours asked for at a time.
-QUERY_TERMS, NEIGHBOURS = 24, 8
+#: Neighbours asked for at a time. A seed is looked up with all of its distinct ids.
+NEIGHBOURS = 8
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
 
@@ -112,19 +112,23 @@ class Shard:
             terms.append(term)
             docs.append(np.full(len(term), d, np.int32))
             impacts.append(weight.astype(np.float32))
-            best = np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS] if len(term) > QUERY_TERMS else slice(None)
-            self.queries.append(term[best])
+            self.queries.append(term)
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         self.docs, self.impacts = np.concatenate(docs)[order], np.concatenate(impacts)[order]
         self.at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.used = np.zeros(self.n, bool)
+        self.scored, self.score = -1, np.zeros(self.n)
 
     def neighbours(self, seed: int, k: int = NEIGHBOURS) -> np.ndarray:
-        """The ``k`` unused documents that score best for the seed's query terms, best first, then by position."""
-        runs = [slice(self.at[t], self.at[t + 1]) for t in self.queries[seed]]
-        docs = np.concatenate([self.docs[r] for r in runs])
-        score = np.bincount(docs, np.concatenate([self.impacts[r] for r in runs]), self.n)
+        """The ``k`` unused documents that score best for all ids of the seed, best first, then by position."""
+        if seed != self.scored:
+            # The scores of a seed stay the same for as long as it is asked for; only more documents are used up.
+            term = self.queries[seed]
+            runs = [slice(a, b) for a, b in zip(self.at[term].tolist(), self.at[term + 1].tolist(), strict=True)]
+            docs = np.concatenate([self.docs[r] for r in runs])
+            self.scored, self.score = seed, np.bincount(docs, np.concatenate([self.impacts[r] for r in runs]), self.n)
+        score = self.score
         score[self.used] = 0
         if self.n > 4 * k:
             top = np.argpartition(-score, k)[:k]

@@ -69,6 +69,25 @@ def test_neighbours_are_the_best_by_bm25():
         np.testing.assert_allclose(np.array(scores)[got], np.sort(scores)[::-1][:3], rtol=1e-4)
 
 
+def test_a_long_seed_is_looked_up_with_all_its_ids():
+    """Thirty ids that only the seed has outweigh those it shares: the shared ones have to count all the same."""
+    own, shared = np.arange(1000, 1030), np.arange(100, 160)
+    ids = [np.concatenate([own, shared]).astype("<u2"), *[np.arange(2000 + 50 * i, 2030 + 50 * i).astype("<u2") for i in range(40)], shared.astype("<u2"), shared[:20].astype("<u2")]
+    df = np.zeros(packing.VOCABULARY, np.int64)
+    for a in ids:
+        df[np.unique(a)] += 1
+    n, mean = len(ids), np.mean([len(a) for a in ids])
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    shard = packing.Shard(ids, idf, mean)
+    shard.used[0] = True
+    # The reference scores with the whole seed document, not with what the shard chose to look up.
+    scores = [0 if d == 0 else sum(idf[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(a) / mean)) for t in set(ids[0]) & set(a)) for d, a in enumerate(ids)]
+    got = shard.neighbours(0, 3)
+    assert list(got) == [41, 42]
+    np.testing.assert_allclose([scores[d] for d in got], sorted(scores, reverse=True)[:2])
+    assert [r[0] for r in packing.pack_shard(ids, idf, mean, 400)][:3] == [0, 41, 42]
+
+
 def test_similar_documents_share_a_window():
     topics = [np.concatenate([np.full(50, 100 + t), np.arange(20) + 1000 * (i + 1)]).astype("<u2") for i in range(20) for t in [i % 4]]
     df = np.zeros(packing.VOCABULARY, np.int64)
