@@ -8,8 +8,9 @@ check digit, IBANs their country, telephone numbers their country code; names ke
 and their script.
 
 Surrogates are checked for collisions over all documents: where two canonical forms would get one surrogate, or a surrogate is
-itself an entity of the corpus, all but the first get another try number, until none is left. Only the tries
-above 0 are kept, a table that is joined to the documents that need it; with none (the usual case) documents are not joined or shuffled.
+itself an entity of the corpus, all but the first get another try number, until none is left; should ``TRIES`` rounds not do, that
+is an error. Names count too: their lists are soon used up, and further tries make family names of syllables. Only the tries
+above 0 are kept, a table that is joined to the documents that need it; with none documents are not joined or shuffled.
 
 Defined results: a null text stays null and an empty one empty; texts are read whole; equal rows get equal results; of
 overlapping entities the leftmost, and then the first kind in ``KINDS``, counts; an empty table gives an empty result; extra columns pass
@@ -49,6 +50,12 @@ NAMES = {
     ("greek", "n"): "Χάρις Άρτεμις Αγάπη".split(),
     ("greek", "last"): "Αλεξίου Βλάχου Γαλάνη Δούκα Ζέρβα Ιωάννου Κόλλια Λάππα Μακρή Νικολάου".split(),
 }
+#: Syllables by script, 100 each; further tries make family names of them.
+SYLLABLES = {
+    "latin": [c + v for c in "b d f g h j k l m n p r s t v w z br kl st".split() for v in "aeiou"],
+    "cyrillic": [c + v for c in "б в г д ж з к л м н п р с т ф х ц ш бр ст".split() for v in "аеиоу"],
+    "greek": [c + v for c in "β γ δ ζ θ κ λ μ ν ξ π ρ σ τ φ χ ψ βρ κλ στ".split() for v in "αειου"],
+}
 
 _EDGE, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
@@ -134,18 +141,25 @@ def _ip(stream: Column) -> Column:
     return F.concat_ws(".", *[(F.pmod(_number(stream, i), F.lit(254)) + 1).cast("string") for i in range(4)])
 
 
-def _name(found: Column, canon: Column, stream: Column) -> Column:
-    """Title kept; given and family names of its gender and of the name's script."""
-    title = F.regexp_extract(found, rf"^((?:{_TITLE})\.?\x20)", 1)
+def _gender(found: Column) -> Column:
     gender = F.lit("n")
     for g in "fm":
-        gender = F.when(title.rlike(rf"^(?:{'|'.join(TITLES[g])})\b"), F.lit(g)).otherwise(gender)
+        gender = F.when(found.rlike(rf"^(?:{'|'.join(TITLES[g])})\b"), F.lit(g)).otherwise(gender)
+    return gender
+
+
+def _name(found: Column, canon: Column, stream: Column, attempt: Column) -> Column:
+    """Title kept; given and family names of its gender and of the name's script."""
+    title = F.regexp_extract(found, rf"^((?:{_TITLE})\.?\x20)", 1)
+    gender = _gender(title)
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     choose = lambda s, role, at: F.element_at(F.array(*map(F.lit, NAMES[s, role])), F.pmod(_number(stream, at, 4), F.lit(len(NAMES[s, role]))) + 1)
     of = lambda role, at: F.when(script == "cyrillic", choose("cyrillic", role, at)).when(script == "greek", choose("greek", role, at)).otherwise(choose("latin", role, at))
     first = F.when(gender == "f", of("f", 0)).when(gender == "m", of("m", 0)).otherwise(of("n", 0))
-    last = of("last", 1)
-    # A second family name makes room for as many people as there are; it comes only with further tries.
+    # The lists are short. Further tries make family names of syllables, one more each time, so that there is room for as many people as there are.
+    parts = F.split(F.when(script == "cyrillic", " ".join(SYLLABLES["cyrillic"])).when(script == "greek", " ".join(SYLLABLES["greek"])).otherwise(" ".join(SYLLABLES["latin"])), " ")
+    made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.least(attempt.cast("int") + 2, F.lit(8))), lambda i: F.element_at(parts, F.pmod(_number(stream, i + 1, 4), F.lit(100)) + 1)), ""))
+    last = F.when(attempt > 0, made).otherwise(of("last", 1))
     return F.concat(title, F.when(canon.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last))
 
 
@@ -163,7 +177,7 @@ def surrogate(found: Column, attempt: Column, key: str = KEY) -> Column:
     # A digit that may not begin a number stays within 2 to 9.
     return (F.when(at > 0, F.concat(lowered, top)).when(kind == "iban", F.concat(F.substr(found, F.lit(1), F.lit(2)), F.substr(poured, F.lit(3))))
             .when(kind == "phone", F.concat(code, F.substr(poured, F.length(code) + 1))).when(kind == "card", _card(found, stream))
-            .when(kind == "ip", _ip(stream)).when(kind == "name", _name(found, canon, stream)).otherwise(poured))
+            .when(kind == "ip", _ip(stream)).when(kind == "name", _name(found, canon, stream, attempt)).otherwise(poured))
 
 
 def entities(text: Column) -> Column:
@@ -171,29 +185,44 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def made_new(state: DataFrame, kinds: set[str], key: str) -> DataFrame:
+    """``state``, with ``kind``, ``canon``, ``found`` and ``attempt``, plus ``new``, the surrogates; ``kinds`` has those that occur.
+
+    The expression for all kinds is long to plan, so names, which are tried most, go by their part of it.
+    """
+    stream = _stream(key, F.col("kind"), F.col("canon"), F.col("attempt").cast("string"))
+    names = state.where("kind = 'name'").withColumn("new", _name(F.col("found"), F.col("canon"), stream, F.col("attempt")))
+    return names.union(state.where("kind != 'name'").withColumn("new", surrogate(F.col("found"), F.col("attempt"), key))) if kinds - {"name"} else names
+
+
 def tries(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``(kind, canon, attempt)`` of the entities that need a try above 0, over all of ``docs``.
 
     Each round keeps, of the forms that share a surrogate, one: the one settled longest, then the least; the others, and those whose
-    surrogate is an entity itself, try again. An entity is tried in its least spelling, so a round sees each form once.
+    surrogate is an entity itself, try again. An entity is tried in its least spelling, and a name in that for each gender of its titles,
+    as given names go by it. A round that is not the first makes only the surrogates of those that try again.
     """
     found = docs.select(F.explode(entities(F.col("text"))).alias("found"))
     kind = kind_of(F.col("found"))
-    forms = table(found.groupBy(kind.alias("kind"), canonical(kind, F.col("found")).alias("canon")).agg(F.min("found").alias("found")), "entities")
-    state = forms.select("kind", "canon", "found", F.lit(0).alias("attempt"))
+    by = F.when(kind == "name", _gender(F.col("found"))).otherwise("")
+    forms = table(found.groupBy(kind.alias("kind"), canonical(kind, F.col("found")).alias("canon"), by.alias("by")).agg(F.min("found").alias("found")).drop("by"), "entities")
+    kinds = lambda state: {r["kind"] for r in state.select("kind").distinct().collect()}
+    imaged = lambda state: made_new(state, kinds(state), key).withColumn("image", canonical(F.col("kind"), F.col("new"))).drop("new")
     same = lambda a, b: (F.col(f"{a}.kind") == F.col(f"{b}.kind")) & (F.col(f"{a}.image") == F.col(f"{b}.canon"))
+    made = table(imaged(forms.select("kind", "canon", "found", F.lit(0).alias("attempt"))), "images")
     for _ in range(TRIES):
-        made = table(state.withColumn("image", canonical(F.col("kind"), surrogate(F.col("found"), F.col("attempt"), key))), "images")
         first = made.groupBy("kind", "image").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1")
         twice = made.alias("m").join(first.alias("f"), ["kind", "image"]).where((F.col("m.canon") != F.col("f.first.canon"))).select("kind", "m.canon")
         taken = made.alias("m").join(forms.alias("f"), same("m", "f")).select("m.kind", "m.canon")
-        # Names come from short lists: what is chosen may well be somebody's name, and a name is shared by many.
-        again = table(twice.union(taken).where("kind != 'name'").distinct(), "again")
+        again = table(twice.union(taken).distinct(), "again")
         if not again.limit(1).count():
-            state = made.drop("image")
             break
-        state = made.drop("image").join(again.withColumn("more", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "found", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
-    return table(state.where("attempt > 0").select("kind", "canon", "attempt"), "tries")
+        rest = made.join(again, ["kind", "canon"], "left_anti").select("kind", "canon", "found", "attempt", "image")
+        more = made.join(again, ["kind", "canon"], "left_semi").select("kind", "canon", "found", (F.col("attempt") + 1).alias("attempt"))
+        made = table(rest.union(imaged(more)), "images")
+    else:
+        raise ValueError(f"entities that still share a surrogate after {TRIES} tries: {sorted({r.kind for r in again.select('kind').distinct().collect()})}")
+    return table(made.where("attempt > 0").select("kind", "canon", "attempt").distinct(), "tries")
 
 
 def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
@@ -205,17 +234,18 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     source = docs if text == "text" else docs.withColumn("text", F.col(text))
     more = tries(source.select("text"), key)
     if more.limit(1).count():
-        # The tries of a document's entities come to it as a map; only documents with such entities are touched.
-        wanted = docs.select(F.xxhash64(text).alias("_at"), F.explode(F.array_distinct(entities(F.col(text)))).alias("_found"))
-        kind = kind_of(F.col("_found"))
-        wanted = wanted.select("_at", "_found", kind.alias("kind"), canonical(kind, F.col("_found")).alias("canon")).join(more, ["kind", "canon"])
-        maps = wanted.groupBy("_at", "_found").agg(F.max("attempt").alias("_try")).groupBy("_at").agg(F.map_from_entries(F.collect_list(F.struct("_found", "_try"))).alias("_tries"))
+        # The surrogates of a document's entities that are not first tries come to it as a map; only documents with such entities are touched.
+        wanted = docs.select(F.xxhash64(text).alias("_at"), F.explode(F.array_distinct(entities(F.col(text)))).alias("found"))
+        kind = kind_of(F.col("found"))
+        wanted = wanted.select("_at", "found", kind.alias("kind"), canonical(kind, F.col("found")).alias("canon")).join(more, ["kind", "canon"]).distinct()
+        wanted = made_new(wanted, {r["kind"] for r in more.select("kind").distinct().collect()}, key)
+        maps = wanted.groupBy("_at").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("found", "new")))).alias("_tries"))
         ready = docs.withColumn("_key", F.xxhash64(text)).join(maps, F.col("_key") == F.col("_at"), "left")
-        attempt = lambda m: F.coalesce(F.try_element_at("_tries", m), F.lit(0))
+        new = lambda m: F.coalesce(F.try_element_at("_tries", m), surrogate(m, F.lit(0), key))
     else:
-        ready, attempt = docs, lambda m: F.lit(0)
+        ready, new = docs, lambda m: surrogate(m, F.lit(0), key)
     t = F.col(text)
-    found = F.transform(entities(t), lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind"), surrogate(m, attempt(m), key).alias("new")))
+    found = F.transform(entities(t), lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind"), new(m).alias("new")))
     ready = ready.withColumn("_found", found)
     pieces = F.split(t, PATTERN, -1)
     glued = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_found")), F.col("_found"), lambda p, m: F.concat(p, m["new"])), ""), F.element_at(pieces, -1))

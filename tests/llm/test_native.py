@@ -246,6 +246,20 @@ def test_distinct_entities_stay_distinct(spark):
         assert len(before) == len(after) and not before & after
 
 
+def test_thousands_of_names_stay_distinct(spark):
+    """Lists of names hold some hundreds of pairs; a title of another gender must not bring two people together either."""
+    letter = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    names = [f"Ann{letter(i)} Sm{letter(i * 7)}" for i in range(2000)] + [f"Jo{letter(i)}" for i in range(400)] + ["Greta Marlow", "Marlow"]
+    texts = [f"{t} {n}" for n in names for t in ("Mrs", "Dr")] + [f"Г-н Иван{chr(1072 + i % 30)}{chr(1072 + i // 30)}" for i in range(200)]
+    got = {r.doc_id: r.text for r in pii.replace(docs(spark, texts)).collect()}
+    of = {}
+    for i, t in enumerate(texts):
+        title, name = t.split(" ", 1)
+        assert got[i].startswith(title + " ") and len(got[i].split()) == len(t.split())
+        of.setdefault(got[i].split(" ", 1)[1], set()).add(name)
+    assert all(len(v) == 1 for v in of.values()) and not set(of) & {t.split(" ", 1)[1] for t in texts}
+
+
 def test_collisions_are_tried_again(spark, monkeypatch):
     """With surrogates that can hardly differ, further tries keep all apart, and in all documents alike."""
     real = pii.surrogate
