@@ -5,11 +5,14 @@ with a hash index of its own. The segments' search radii grow one after the othe
 and the others a - 1, every code within ``m * a + j`` bits has been met, as a farther one differs by more in each segment.
 A query is done, and leaves, when its k-th verified distance is covered that way; that takes in all its ties.
 
+Radii grow one at a time, and within a radius segment after segment. A round probes the masks of one radius, ``PROBES`` of
+them at most, so a radius with more takes several rounds, and a query that is covered by some of them is spared the rest. No
+query is ever held against all codes by another way: a radius as wide as the narrowest segment has met every code through
+the index itself.
+
 Segments are a little narrower than the number of distinct codes has bits, so that a value is shared by a few codes
 and probing stays below linear. Equal codes are one entry of the index that keeps the ``k`` smallest ids (no other can be among
-the k nearest) and equal query codes are searched once, so copies, however many, make no larger bucket. Once a radius
-would probe more values than there are codes (``n``), the queries that are left are held against all distinct codes in
-blocks: a stated query set against all rows.
+the k nearest) and equal query codes are searched once, so copies, however many, make no larger bucket.
 
 Defined results: null vectors, and null components, count as bits that are 0; vectors are cut or filled with 0 bits to
 the number of bits of the code; ties go by id; rows with a null id are not indexed; a query finds itself at
@@ -21,7 +24,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ from .common import ROWS_A_FILE, parts_for, table
 BITS = 64
 #: Logarithm of how many codes should share a segment's value: looking at a code is cheaper than dealing out a probe.
 SHARED = 2.5
-#: Codes, and query codes, that a look at all holds against each other at a time.
-BLOCK, QUERIES = 1024, 128
+#: Masks that a round probes at most; they are written into its plan.
+PROBES = 4096
 
 
 def code_of(vector: Column, bits: int = BITS) -> Column:
@@ -60,9 +63,9 @@ def segments(code: Column, sizes: list[int]) -> Column:
     return F.array(*out)
 
 
-def masks(radius: int, width: int) -> list[int]:
+def masks(radius: int, width: int) -> Iterator[int]:
     """All differences of exactly ``radius`` bits in a segment."""
-    return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+    return (sum(1 << b for b in bits) for bits in combinations(range(width), radius))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -92,23 +95,22 @@ def best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
-def steps(sizes: list[int], small: int = 200, large: int = 4000) -> Iterator[tuple[list[tuple[int, list[int]]], int]]:
-    """``(segment, masks)`` pairs to probe next, and the distance that is covered after them.
-
-    All radii of few masks go together, to spare rounds; from ``large`` masks on half of the segments go at a time.
-    """
+def rounds(sizes: list[int], most: int = PROBES) -> Iterator[tuple[list[tuple[int, list[int]]], int]]:
+    """``(segment, masks)`` pairs to probe next, and the distance that is covered after them."""
     m = len(sizes)
-    held: list[list[int]] = [[] for _ in sizes]
-    for radius in range(max(sizes) + 1):
-        each = [masks(radius, w) for w in sizes]
-        if radius < max(sizes) and max(math.comb(w, radius + 1) for w in sizes) <= small:
-            held = [a + b for a, b in zip(held, each, strict=True)]
-            continue
-        each = [a + b for a, b in zip(held, each, strict=True)]
-        held = [[] for _ in sizes]
-        cut = m if sum(map(len, each)) <= large else -(-m // 2)
-        for j in range(0, m, cut):
-            yield [(i, each[i]) for i in range(j, min(j + cut, m))], m * radius + min(j + cut, m) - 1
+    for radius in range(min(sizes) + 1):
+        held, room = [], most
+        for j, width in enumerate(sizes):
+            left, rest = masks(radius, width), math.comb(width, radius)
+            while rest:
+                part = list(islice(left, room))
+                held.append((j, part))
+                room, rest = room - len(part), rest - len(part)
+                if not room:
+                    yield held, m * radius + j - (rest > 0)
+                    held, room = [], most
+        if held:
+            yield held, m * radius + m - 1
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -> DataFrame:
@@ -116,7 +118,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -
 
     ``rows`` and ``queries`` are ``(id, code)``.
     """
-    spark = rows.sparkSession
     rows = rows.where(F.col("id").isNotNull())
     index = table(first_ids(rows, k), "codes", parts_for(rows)).withColumn("first", F.element_at("ids", 1))
     n = index.count()
@@ -125,15 +126,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -
     # ``worst`` is the distance of the k-th entry so far: nothing farther is of use.
     asked_codes = table(queries.select(F.col("code").alias("query")).distinct(), "queries", parts_for(queries))
     open_ = asked_codes.withColumn("worst", F.lit(None).cast("int"))
-    found, probed = None, 0
-    for probe, covered in steps(sizes):
+    found = index.select(F.col("code").alias("query"), "code", "first", F.lit(0).alias("distance")).limit(0)
+    for probe, covered in rounds(sizes):
         if not open_.limit(1).count():
             break
-        probed += sum(len(x) for _, x in probe)
-        if probed > n:
-            near = everything(index.select("code", "first"), open_.select("query"), k)
-            found = near if found is None else found.join(open_, "query", "left_anti").unionByName(near)
-            break
         by_segment = F.from_json(F.lit(json.dumps([x for _, x in probe])), "array<array<bigint>>")
         own = F.filter(segments(F.col("query"), sizes), lambda x: x["seg"].isin([j for j, _ in probe]))
         probes = open_.select("query", "worst", F.posexplode(own).alias("at", "x"))
@@ -142,33 +138,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -
         far = distance(F.col("query"), F.col("code"))
         # Exploded rows look as small to the planner as what they come from, so it must not broadcast them.
         near = probes.join(entries.hint("merge"), ["seg", "value"]).where(F.col("worst").isNull() | (far <= F.col("worst"))).select("query", "code", "first", far.alias("distance"))
-        if found is not None:
-            near = near.unionByName(found)
-        found = table(best(near.distinct(), k), "hits")
+        found = table(best(near.unionByName(found).distinct(), k), "hits")
         state = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         left = asked_codes.join(state, "query", "left").where(F.col("n").isNull() | (F.col("n") < min(k, n)) | (F.col("far") > covered))
         open_ = left.select("query", F.when(F.col("n") >= k, F.col("far")).alias("worst"))
-    if found is None:
-        return spark.createDataFrame([], "query_id long, id long, distance int, rank int")
     hits = found.join(index.select("code", "ids"), "code").select("query", "distance", F.explode("ids").alias("id"))
     w = Window.partitionBy("query").orderBy("distance", "id")
     hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query"))
     return asked.join(hits, "query").select("query_id", "id", "distance", "rank")
 
-
-def everything(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` entries of each query by looking at all codes.
-
-    Blocks of codes meet blocks of queries; each pair of blocks is a row of its own, and of it only the ``k`` best
-    entries a query come out.
-    """
-    def blocks(d: DataFrame, key: str, n: int, value: Column, out: str) -> DataFrame:
-        return d.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"block_{out}")).agg(F.collect_list(value).alias(out))
-
-    n, q = max(1, -(-codes.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
-    left = blocks(codes, "code", n, F.struct("first", "code"), "part").withColumn("block_asked", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
-    pairs = left.join(blocks(queries, "query", q, F.col("query"), "asked"), "block_asked").repartition(n * q)
-    each = pairs.select("part", F.explode("asked").alias("query"))
-    ranked = F.slice(F.sort_array(F.transform("part", lambda c: F.struct(distance(c["code"], F.col("query")).alias("distance"), c["first"].alias("first"), c["code"].alias("code")))), 1, k)
-    return best(each.select("query", F.inline(ranked)).select("query", "code", "first", "distance"), k)

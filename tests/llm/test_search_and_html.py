@@ -43,6 +43,52 @@ def test_exact(spark, n, spread, k):
     assert run(spark, codes, queries, k) == brute(codes, queries, k)
 
 
+def test_every_answer_comes_from_probing_rounds(spark, monkeypatch):
+    """At the size of the smallest tables, too: radii grow one at a time, and each join is on a segment's value."""
+    made, joins = [], []
+    real_rounds, real_table = hamming.rounds, hamming.table
+
+    def counted(sizes):
+        for probe, covered in real_rounds(sizes):
+            made.append((len({sum(map(int.bit_count, x[:1])) for _, x in probe}), covered))
+            yield probe, covered
+
+    def looked(df, name, *more):
+        if name == "hits":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real_table(df, name, *more)
+
+    monkeypatch.setattr(hamming, "rounds", counted)
+    monkeypatch.setattr(hamming, "table", looked)
+    rng = np.random.default_rng(5)
+    codes = [(i, int(x)) for i, x in enumerate(rng.integers(-(1 << 63), 1 << 63, 500))]
+    assert run(spark, codes, codes[::20], 10) == brute(codes, codes[::20], 10)
+    assert len(joins) >= 2 and all(n == 1 for n, _ in made) and sorted(c for _, c in made) == [c for _, c in made]
+    assert all("(seg#" in j and "Cartesian" not in j and "Join Cross" not in j for j in joins)
+
+
+@pytest.mark.parametrize(("sizes", "most"), [([3, 2], 4096), ([4, 4, 3], 5), ([7] * 8 + [8], 100)])
+def test_rounds_cover_what_they_say(sizes, most):
+    """After each round every difference of that many bits has some segment whose part of it was probed."""
+    probed = [set() for _ in sizes]
+    for probe, covered in hamming.rounds(sizes, most):
+        assert sum(len(x) for _, x in probe) <= most
+        for j, x in probe:
+            assert not probed[j] & set(x)
+            probed[j] |= set(x)
+        # A difference avoids all probed masks only if each segment's part does: the fewest bits of such a one.
+        least = [min((v.bit_count() for v in range(1 << w) if v not in p), default=99) for w, p in zip(sizes, probed, strict=True)]
+        assert sum(least) > min(covered, sum(sizes))
+    assert sum(least) >= 99
+
+
+def test_repeated_queries_and_extra_columns(spark):
+    codes = spark.createDataFrame([(i, i * 7919, "x") for i in range(50)], "id long, code long, distance string")
+    asked = codes.where("id < 2").union(codes.where("id < 1"))
+    got = hamming.search(codes, asked, 3).collect()
+    assert sorted(r.query_id for r in got) == [0] * 6 + [1] * 3 and len({(r.id, r.distance) for r in got if r.query_id == 0}) == 3
+
+
 def test_codes_and_edges(spark):
     rows = spark.createDataFrame([(1, [0.5, -1.0, 0.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [1.0] * 70)], "id long, v array<double>")
     got = {r.id: r.c for r in rows.select("id", hamming.code_of(F.col("v")).alias("c")).collect()}
