@@ -11,15 +11,20 @@ Blocks are bounded by block elements and line breaks; inside one, character refe
 one space; blocks are joined by line ends, in page order.
 
 Defined results: null and empty html give an empty text; markup that is cut off or nested wrongly is read as far as it goes
-(scripts, styles and comments without an end reach to the page's end); ties of the marginal count as not content; equal
+(scripts, styles and comments without an end reach to the page's end). A quote opens an attribute's value only after ``=``; one
+that is never closed is part of an unquoted value, so that it swallows no text. Text in ``math`` and ``svg`` is text as any other;
+what stands in an ``object``, ``canvas``, ``audio``, ``video`` or ``iframe`` is shown only where that fails, and goes. Ties of the marginal count as not content; equal
 rows get equal results; pages are read whole; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,7 +40,7 @@ TAGS = (
 ).split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset(["br", "hr"])
-RAW = frozenset("script style noscript template title textarea svg math iframe object canvas audio video".split())
+RAW = frozenset("script style noscript template title textarea iframe object canvas audio video".split())
 HINTS = {
     "advert": "ad ads adv advert advertisement adsense adslot sponsor sponsored promo promotion banner outbrain taboola dfp",
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager topbar toolbar tabs toc",
@@ -50,16 +55,22 @@ HINTS = {
 HINT_OF = {w: h for h, words in HINTS.items() for w in words.split()}
 
 LENGTHS, SHARES = (0, 1, 25, 80, 200), (0.01, 0.34, 0.67)
-NAMES = [*(f"tag {t}" for t in TAGS), "tag inline", *(f"hint {h}" for h in HINTS), *(f"length {n}" for n in LENGTHS), "share none", *(f"share {s}" for s in SHARES), "hidden", "bias"]
+NAMES = [*(f"tag {t}" for t in TAGS), "tag inline", *(f"hint {h}" for h in HINTS), *(f"length {n}" for n in LENGTHS), "share none", *(f"share {s}" for s in SHARES), "hidden", "hinted prose", "bias"]
 AT = {n: i for i, n in enumerate(NAMES)}
 _TAG = {t: AT[f"tag {t}"] for t in TAGS}
 
-_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: As HTML has it: whatever follows white space or a slash is a name, and only after "=" quotes bound a value.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*+)))?+")
+_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|" + _ATTRIBUTE.pattern.replace("(", "(?:").replace("(?:?:", "(?:") + r")*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: An opening tag ends those of these kinds that stand open inside the same parent.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}}
+#: Kinds that hold running text of their own.
+_PROSE = frozenset("p blockquote pre li dd td".split())
+_PROSE_AT, _AWAY = {_TAG[t] for t in _PROSE}, {AT[f"hint {h}"] for h in HINTS if h != "content"}
+#: Levels of the forest with so few nodes are worked node by node: pages may be nested as deep as they are long.
+NARROW = 8
 
 
 class Page:
@@ -69,7 +80,8 @@ class Page:
         self.parent, self.depth, self.features, self.label = [-1], [0], [[_TAG["html"]]], [-1]
         self.pieces: list[tuple[int, int, str]] = []
         self.length, self.linked = [0], [0]
-        open_ = [("html", 0)]
+        # Of each open element: tag, node, and where the nearest block element stands; and where those of each tag stand.
+        open_, places = [("html", 0, 0)], defaultdict(list, html=[0])
         link, block, end = 0, 0, len(source)
 
         def text(raw: str) -> None:
@@ -81,7 +93,8 @@ class Page:
             self.pieces.append((node, block, s))
 
         def close(k: int) -> None:
-            del open_[k:]
+            while len(open_) > k:
+                places[open_.pop()[0]].pop()
 
         at = 0
         while at < end:
@@ -98,9 +111,8 @@ class Page:
             if m[1]:
                 if tag == "a":
                     link = 0
-                found = next((k for k in range(len(open_) - 1, 0, -1) if open_[k][0] == tag), 0)
-                if found:
-                    close(found)
+                if places[tag] and places[tag][-1]:
+                    close(places[tag][-1])
                 if tag in _TAG:
                     block += 1
                 continue
@@ -121,7 +133,7 @@ class Page:
                 continue  # inline markup without a meaning of its own belongs to its block
             if tag in _TAG:
                 block += 1
-                self._implied(tag, open_, close)
+                self._implied(tag, open_, places, close)
             node = len(self.parent)
             self.parent.append(open_[-1][1])
             self.depth.append(self.depth[open_[-1][1]] + 1)
@@ -129,9 +141,12 @@ class Page:
             self.label.append(label)
             self.length.append(0)
             self.linked.append(0)
-            open_.append((tag, node))
+            places[tag].append(len(open_))
+            open_.append((tag, node, len(open_) if tag in _TAG else open_[-1][2]))
         for node, f in enumerate(self.features):
             n, share = self.length[node], self.linked[node] / max(self.length[node], 1)
+            if n >= LENGTHS[-1] and share < SHARES[0] and f[0] in _PROSE_AT and any(x in _AWAY for x in f):
+                f.append(AT["hinted prose"])
             f.append(AT[f"length {max(x for x in LENGTHS if x <= n)}"])
             f.append(AT["share none" if share < SHARES[0] else f"share {max(x for x in SHARES if x <= share)}"])
             f.append(AT["bias"])
@@ -150,19 +165,15 @@ class Page:
         return hints, hidden, label
 
     @staticmethod
-    def _implied(tag: str, open_: list, close) -> None:
-        k = len(open_) - 1
-        while k > 0 and open_[k][0] not in _TAG:
-            k -= 1
+    def _implied(tag: str, open_: list, places: dict, close) -> None:
+        k = open_[-1][2]
         if open_[k][0] == "p":
             close(k)
-        ends = _ENDS.get(tag)
-        if ends:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] in _SCOPE[tag]:
-                    break
-                if open_[k][0] in ends:
-                    close(k)
+        if tag in _ENDS:
+            scope = max((places[t][-1] for t in _SCOPE[tag] if places[t]), default=0)
+            inside = [p[i] for t in _ENDS[tag] if (p := places[t]) and (i := bisect_right(p, scope)) < len(p)]
+            if inside:
+                close(min(inside))
 
     def text(self, content: np.ndarray) -> str:
         blocks: dict[int, list[str]] = {}
@@ -198,24 +209,64 @@ class Forest:
     def marginals(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each node's marginals, and the joint ones of each node (second axis: parent, third: node)."""
         inbox, up, n = np.zeros_like(unary), np.zeros_like(unary), len(unary)
-        for level in reversed(self.levels):
+        wide, deep = self._cut()
+        self._deep_up(deep, unary, pair, inbox, up)
+        for level in reversed(wide):
             b = unary[level] + inbox[level]
             up[level] = np.logaddexp(pair[:, 0] + b[:, :1], pair[:, 1] + b[:, 1:])
             for y in (0, 1):
                 np.add.at(inbox[:, y], self.parent[level], up[level, y])
-        belief = unary + inbox
-        joint = np.zeros((n, 2, 2))
-        for level in self.levels:
+        own, belief = unary + inbox, unary + inbox
+        for level in wide:
             cavity = belief[self.parent[level]] - up[level]
-            own = unary[level] + inbox[level]
-            j = cavity[:, :, None] + pair[None] + own[:, None, :]
-            j -= j.max((1, 2), keepdims=True)
-            e = np.exp(j)
-            joint[level] = e / e.sum((1, 2), keepdims=True)
-            belief[level] = own + np.logaddexp(cavity[:, :1] + pair[0], cavity[:, 1:] + pair[1])
+            belief[level] = own[level] + np.logaddexp(cavity[:, :1] + pair[0], cavity[:, 1:] + pair[1])
+        self._deep_down(deep, own, pair, up, belief)
+        inner = np.flatnonzero(self.parent >= 0)
+        cavity = belief[self.parent[inner]] - up[inner]
+        j = cavity[:, :, None] + pair[None] + own[inner][:, None, :]
+        j = np.exp(j - j.max((1, 2), keepdims=True))
+        joint = np.zeros((n, 2, 2))
+        joint[inner] = j / j.sum((1, 2), keepdims=True)
         e = np.exp(belief - belief.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True), joint
 
+    def _cut(self) -> tuple[list[np.ndarray], list[int]]:
+        """The levels down to the last one that is wide, and the nodes below, in order of depth."""
+        cut = max((i + 1 for i, x in enumerate(self.levels) if len(x) > NARROW), default=0)
+        return self.levels[:cut], [int(x) for level in self.levels[cut:] for x in level]
+
+    def _deep_up(self, nodes: list[int], unary: np.ndarray, pair: np.ndarray, inbox: np.ndarray, up: np.ndarray) -> None:
+        p, got = pair.tolist(), {}
+        own, parent = unary[nodes].tolist(), self.parent[nodes].tolist()
+        sent = []
+        for i in range(len(nodes) - 1, -1, -1):
+            a, b = got.pop(nodes[i], (0.0, 0.0))
+            inbox[nodes[i]] = a, b
+            a, b = a + own[i][0], b + own[i][1]
+            x, y = _logaddexp(p[0][0] + a, p[0][1] + b), _logaddexp(p[1][0] + a, p[1][1] + b)
+            sent.append((x, y))
+            a, b = got.get(parent[i], (0.0, 0.0))
+            got[parent[i]] = a + x, b + y
+        if nodes:
+            up[nodes[::-1]] = sent
+        for node, m in got.items():
+            inbox[node] += m
+
+    def _deep_down(self, nodes: list[int], own: np.ndarray, pair: np.ndarray, up: np.ndarray, belief: np.ndarray) -> None:
+        p, known = pair.tolist(), {}
+        mine, sent, parent = own[nodes].tolist(), up[nodes].tolist(), self.parent[nodes].tolist()
+        for i, node in enumerate(nodes):
+            above = known.get(parent[i])
+            a, b = belief[parent[i]].tolist() if above is None else above
+            a, b = a - sent[i][0], b - sent[i][1]
+            known[node] = mine[i][0] + _logaddexp(a + p[0][0], b + p[1][0]), mine[i][1] + _logaddexp(a + p[0][1], b + p[1][1])
+        if nodes:
+            belief[nodes] = [known[x] for x in nodes]
+
+
+def _logaddexp(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
 
 def _labelled_page(rng: random.Random) -> str:
     """One labelled page: an article somewhere among parts that are none."""
@@ -230,6 +281,10 @@ def _labelled_page(rng: random.Random) -> str:
         if rng.random() < 0.2:
             s = f"<b>{s}</b>" if rng.random() < 0.5 else f"<b>{s}<br>"
         kind = rng.random()
+        if kind < 0.05:
+            # Long text of its own is content, whatever its class is called.
+            name = rng.choice(("related", "header-note", "notice", "side-note", "footer-text", "reader-line", "share", "promo-text", "alert", "menu-text"))
+            return f'<p data-label="1" class="{name}">{words(45, 160)}</p>'
         if kind < 0.8:
             return f'<p data-label="1">{s}' + "</p>" * (rng.random() < 0.85)
         if kind < 0.86:

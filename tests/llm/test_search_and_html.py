@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -141,6 +142,12 @@ CASES = {
     "<article><p>a</p><!-- <p>no</p> --><style>p{}</style><form><input><button>Go</button></form><p>b</article>": "a\nb",
     "<div class='cookie-notice'>We use cookies</div><article><p>q &lt;x&gt; &#233;</p></article>": "q <x> é",
     "": "", "<article></article>": "", "<script>alert(1)": "",
+    "<article><p data-x=it's>Hello world text here</p><p>More text here</p></article>": "Hello world text here\nMore text here",
+    '<article><p title=5" >Hello</p><p class = "a>b" id=\'c">d\'>more</p></article>': "Hello\nmore",
+    '<article><p title="never closed>Hello there</p><p>more of it</p></article>': "Hello there\nmore of it",
+    "<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> end of it <svg><title>no</title><text>label</text></svg></p></article>": "Energy E=m end of it label",
+    "<article><p>" + "plain words " * 30 + "</p><p class='related'>" + "long words of the article " * 20 + "</p><p class='ad'>Buy now</p></article>": "\n".join([" ".join(["plain words"] * 30), " ".join(["long words of the article"] * 20)]),
+    "<nav><a href=/>Home</a></nav><h1>No article here</h1><p>" + "some words of text " * 9 + "</p><p>and some more of them</p><footer>imprint</footer>": "No article here\n" + " ".join(["some words of text"] * 9) + "\nand some more of them",
 }
 
 
@@ -150,6 +157,16 @@ def test_pages(model, source):
     assert htmltext.extract([whole], *model) == [CASES[source]]
 
 
+@pytest.mark.parametrize("source", [
+    "<div>" * 100_000 + "text", "<ul><li><ul>" + "<div>" * 50_000 + "<li>a</li>" * 50_000, "<span class=ad>" * 50_000 + "<p>x" * 50_000,
+    "<div>" * 50_000 + "</b>" * 50_000 + "</li>" * 50_000, "<p a=\"" * 100_000, "<p =" * 100_000 + "'" * 100_000, "<a " * 100_000, "<!--" * 100_000,
+])
+def test_deep_and_broken_pages_take_linear_time(model, source):
+    began = time.process_time()
+    htmltext.extract([source, "<article><p>short</p></article>"], *model)
+    assert time.process_time() - began < 20
+
+
 def test_table(spark, model):
     rows = [(1, "u", None), (2, None, "<p>" * 3000 + "x"), (3, "u", "<article><p>" + "word " * 50_000 + "</p></article>"), (3, "u", "<article><p>" + "word " * 50_000 + "</p></article>")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2)})
