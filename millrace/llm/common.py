@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,18 +124,36 @@ def uniform(*cols: Column) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 50)) + F.lit(0.5)) / F.lit(float(1 << 50))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out once, however often ``f`` and the lambdas in it read it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def blocks(items: Column) -> Column:
+    """``items``, a bound array, cut into about as many arrays as each is long."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"), F.lit(1))
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, size))
+
+
+def running(items: Column, step: Callable[[Column, Column], Column], kind: str = "long") -> Column:
+    """What a fold with ``step`` from 0 has after each item, as an array.
+
+    A fold that appends copies what it has each time, so that is done for a block of items at a time: the work grows with
+    the power 1.5 of their number.
+    """
+    last = lambda a, otherwise: F.coalesce(F.try_element_at(a, F.lit(-1)), otherwise)
+    inner = lambda block, first: F.aggregate(block, F.array().cast(f"array<{kind}>"), lambda out, x: F.concat(out, F.array(step(last(out, first), x))))
+    whole = lambda items: F.aggregate(blocks(items), F.array().cast(f"array<array<{kind}>>"), lambda done, block: F.concat(done, F.array(inner(block, last(F.try_element_at(done, F.lit(-1)), F.lit(0).cast(kind))))))
+    return F.flatten(bound(items, whole))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """Array of ``struct(start, end, match)`` of the leftmost non-overlapping matches, in code points, end exclusive.
 
     ``split`` and ``regexp_extract_all`` scan alike, so pieces and matches alternate.
     """
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,match:string>>").alias("out"))
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["found"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("match")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("found")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), found, lambda p, m: F.struct((F.length(p) + F.length(m)).cast("long").alias("step"), m.alias("match")))
+    spans = lambda pairs: F.zip_with(pairs, running(pairs, lambda at, x: at + x["step"]), lambda x, end: F.struct((end - F.length(x["match"])).alias("start"), end.alias("end"), x["match"].alias("match")))
+    return bound(pairs, spans)
