@@ -31,7 +31,7 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double"
 
 
 @dataclass
@@ -144,7 +144,7 @@ def judge(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW
                 c = np.array([base_counts(x.as_py() or b"") for x in texts], np.int64).reshape(-1, 5)
                 failed = (c[:, 0] < MIN_WORDS) | (100 * c[:, 4] > MAX_REPEATED * c[:, 0])
                 p = model.probability(ngrams.decoded(texts))
-                new = [*map(pa.array, c.T.copy()), pa.array(failed), pa.array(p), pa.array(~failed & (p >= reject_below))]
+                new = [*map(pa.array, c.T.copy()), pa.array(failed), pa.array(~failed & (p >= reject_below)), pa.array(p)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*kept_columns, *names])
 
     return docs.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
@@ -153,4 +153,4 @@ def judge(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass."""
     judged = judge(docs, labels)
-    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
+    return judged.where(F.col(judged.columns[-2])).select(*docs.columns)

@@ -42,6 +42,58 @@ def test_a_text_scores_alike_in_any_batch(texts):
         np.testing.assert_allclose(table[u] @ v if len(u) else 0.0, a, atol=1e-6)
 
 
+def plain_mean(table, text):
+    """The mean over the groups of n-grams, each by itself in plain whole numbers."""
+    place, top = [int(x) for x in ngrams._PLACE], 1 << 32
+
+    def bucket(h, salt):
+        h ^= salt * 0x9E3779B9 % top
+        h ^= h >> 15
+        h = h * 0x85EBCA6B % top
+        h ^= h >> 13
+        return (h * 0xC2B2AE35 % top) >> (32 - ngrams.BITS)
+
+    code = [ord(c) for c in text]
+    grams = [[bucket(sum(c * place[k] for k, c in enumerate(code[i : i + n])) % top, n) for i in range(len(code))] for n in ngrams.CHARS]
+    hashes = [sum(ord(c) * place[j if j < 64 else 32 + j % 32] for j, c in enumerate(w)) % top for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    grams.append([bucket(h, 101) for h in hashes])
+    grams.append([bucket(1 if a == b else (a * 0x01000193 + b * 0x9E3779B1) % top, 103) for a, b in zip(hashes, hashes[1:])])
+    return sum(sum(float(table[b]) for b in g) / len(g) for g in grams if g) / ngrams.GROUPS
+
+
+def logistic(z):
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_and_verdicts_by_brute_force(spark, labels):
+    """Both classifiers' results on whole texts, against plain loops over the same trained numbers."""
+    texts = [*GOOD[:20], *BAD[:20], None, "", "one", "w" * 200 + " " + "long " * 3000, "é \x85 日本 \x00 x", "a a a a"] + GOOD[40:50] + BAD[40:50]
+    d = docs(spark, GOOD + BAD).union(docs(spark, texts).withColumn("doc_id", F.col("doc_id") + 1000))
+    learned = ngrams.fitted(d, labels, "quality", quality.TRAIN_ROWS, quality.TRAIN_CHARS, quality.fit)
+    table, bias = ngrams.fitted(d, labels, "quality", embedder.TRAIN_ROWS, embedder.TRAIN_CHARS, lambda t, y: embedder.fit(t, y).table())
+    judged, scored = ({r.doc_id: r for r in x.collect()} for x in (quality.judge(d, labels), embedder.score(d, labels)))
+    for i, t in enumerate(texts):
+        p = logistic(learned.slope * (plain_mean(learned.weights, t or "") + learned.bias) + learned.shift)
+        n, _, _, _, again = brute(t or "") if i != 43 else (3001, 0, 0, 0, 3000)
+        failed = n < 50 or 100 * again > 50 * n
+        row = judged[1000 + i]
+        assert abs(row.quality - p) < 1e-9 and row.base_failed == failed and row.kept == (not failed and p >= 0.3)
+        assert abs(scored[1000 + i].score - logistic(plain_mean(table, t or "") + bias)) < 1e-9
+
+
+def test_columns_in_the_order_of_the_contract(spark):
+    d = docs(spark, GOOD[:2]).select("doc_id", "text")
+    got = quality.judge(d, spark.createDataFrame([], "doc_id long, quality int")).drop("text").columns
+    assert got[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def test_repeated_ids_score_by_their_own_text(spark, labels):
+    d = docs(spark, GOOD + BAD).union(spark.createDataFrame([(0, BAD[50], "en", "s", 1), (None, GOOD[1], "en", "s", 1)], DOC))
+    rows = embedder.score(d, labels).collect()
+    zero = sorted(r.score for r in rows if r.doc_id == 0)
+    assert len(rows) == 122 and len(zero) == 2 and zero[0] < zero[1] and [r.score for r in rows if r.doc_id is None] == [r.score for r in rows if r.doc_id == 1]
+
+
 def test_models_tell_good_from_bad():
     y = np.array([1.0] * 40 + [0.0] * 40)
     train = GOOD[:40] + BAD[:40]
