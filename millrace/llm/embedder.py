@@ -3,7 +3,7 @@
 Every hashed word or character n-gram has a learned vector; a document's vector is the mean of its n-grams'
 (each group of ``ngrams`` averaged by itself), and a softmax layer turns it into label probabilities. Vectors and
 layer are trained together by stochastic gradient descent in numpy, on a bounded sample of labelled rows
-(``TRAIN_ROWS`` of ``TRAIN_CHARS`` characters at most).
+(``TRAIN_ROWS``, of each ``TRAIN_CHARS`` characters at most, evenly spread stretches of longer texts).
 
 For scoring, the layer is applied to every n-gram's vector once: as both the mean and the layer are linear,
 a document's logits are the mean of its n-grams' logits, and a table of one number a bucket is sent out.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import ngrams
 
-TRAIN_ROWS, TRAIN_CHARS = 1500, 40_000
+TRAIN_ROWS, TRAIN_CHARS = 2500, 40_000
 DIMENSIONS, EPOCHS, RATE = 12, 6, 6.0
 
 

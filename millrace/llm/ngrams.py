@@ -131,15 +131,17 @@ def decoded(column: pa.Array) -> list[str]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, fit: Callable[[list[str], np.ndarray], object]) -> object:
-    """``fit(texts, y)`` of a sample of labelled texts: at most ``rows`` of at most ``chars`` characters, the same ones each time.
+    """``fit(texts, y)`` of a sample of labelled texts: at most ``rows``, the same ones each time.
 
-    Which ones depends on a hash of doc_id; of a doc_id on several rows all texts may count, up to ``2 * rows`` in all. One task
+    Of a text of more than ``chars`` characters four stretches of a quarter of that are learned from, spread evenly over the text. Which ones depends on a hash of doc_id; of a doc_id on several rows all texts may count, up to ``2 * rows`` in all. One task
     fits, so that neither texts nor features come to the driver: only what ``fit`` returns does.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y"))
     drawn = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "y").limit(rows)
     # At most ``rows`` small rows, by the limit above.
-    got = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.length("text") <= chars)
+    some = lambda i: F.substr("text", F.floor((F.length("text") - chars // 4) * i / 3).cast("int") + 1, F.lit(chars // 4))
+    text = F.when(F.length("text") > chars, F.concat_ws("\n", *map(some, range(4)))).otherwise(F.col("text"))
+    got = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").withColumn("text", text)
     got = got.select("doc_id", "y", F.col("text").cast("binary").alias("text")).orderBy("doc_id", "y", F.xxhash64("text")).limit(2 * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

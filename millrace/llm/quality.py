@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules, and a calibrated logistic regression over hashed n-grams.
 
-The regression learns from a bounded sample of labelled rows (``TRAIN_ROWS`` of ``TRAIN_CHARS`` characters at
-most), by AdaGrad in numpy; a part that it does not learn from calibrates its probabilities (Platt scaling). Texts
+The regression learns from a bounded sample of labelled rows (``TRAIN_ROWS``, of each ``TRAIN_CHARS`` characters at
+most, evenly spread stretches of longer texts), by AdaGrad in numpy; a part that it does not learn from calibrates its probabilities (Platt scaling). Texts
 are scored whole, in Arrow batches, against the fixed threshold ``REJECT_BELOW``.
 
 Defined results: a null or empty text has no words, and so fails the base rules; ties, repeated rows and very
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from . import ngrams
 from .common import fresh
 
-TRAIN_ROWS, TRAIN_CHARS = 1500, 40_000
+TRAIN_ROWS, TRAIN_CHARS = 2500, 40_000
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-6
 REJECT_BELOW = 0.3
 MIN_WORDS, MAX_REPEATED = 50, 50

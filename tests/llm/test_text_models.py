@@ -138,6 +138,16 @@ def test_judge_edges(spark, labels):
     assert quality.judge(spark.createDataFrame([], DOC), labels).count() == 0
 
 
+def test_long_labelled_texts_are_learned_from(spark, labels):
+    """The bad ones are all longer than what of a text is learned from, and differ at their ends only."""
+    bad = [" ".join(words(12_000, i, 5000)) + " " + t * 30 for i, t in enumerate(BAD[:20])]
+    assert min(map(len, bad)) > quality.TRAIN_CHARS
+    d = docs(spark, GOOD[:20] + bad)
+    known = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, quality int")
+    got = ngrams.fitted(d, known, "quality", 100, 40_000, lambda t, y: [(len(x), x[-9:], z) for x, z in zip(t, y)])
+    assert len(got) == 40 and max(n for n, _, _ in got) == 40_003 and sum(end == d for n, end, y in got if y == 0 for d in {b[-9:] for b in bad}) == 20
+
+
 def test_score_edges(spark, labels):
     d = docs(spark, GOOD + BAD + [None, ""]).withColumn("score", F.lit("clash"))
     got = {r.doc_id: r.score for r in embedder.score(d, labels).collect()}
