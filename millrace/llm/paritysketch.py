@@ -1,20 +1,27 @@
 """N-gram Jaccard join by parity sketches: exact links between sets of word shingles, and their components.
 
-A set's sketch XORs a bit for every shingle, so that two sketches differ in no more bits than the sets differ in
-shingles. Sets with ``100 * |A & B| >= T * |A | B|`` differ in at most ``(100 - T) / (100 + T)`` of the sum of
-their sizes, so per size band that is at most ``D``; with the sketch cut into ``D + 1`` blocks some block is equal.
-By the ring form of that argument there is a block from which on the first l blocks, for every l, differ in
-less than l bits; a folded copy of the next ``CHAIN`` blocks travels with each block and is held against that,
-which throws out chance meetings without losing a pair. What is left is verified on the texts.
+A set's sketch deals its shingles out to blocks by their hashes. Each block XORs the hashes of its shingles to a key of 64 bits,
+and a bit of 16 for each of them, so that two sketches differ in no more bits, and in no more blocks, than the sets differ in
+shingles. A set of n shingles differs from any that is as similar as ``percent`` says in at most ``D(n) = n (100 - percent) / percent``
+shingles, and both sets of a pair meet in the size band of the larger, with m blocks. By the cycle lemma at least ``m - D(n)``
+blocks of the ring are such that for every l the first l blocks from there on differ in less than l shingles; that block's
+key is then equal, and the bits of the next ``CHAIN`` blocks travel with it and are held against that, which throws out chance
+meetings without losing a pair. What is left is verified on the texts.
+
+Blocks without shingles are equal between many sets, and so are those that hold nothing but a passage many documents share. As
+there are ``m - D(n)`` blocks to meet in, a set leaves such blocks out where it has ``D(n) + 1`` others: of those, one is among
+them. m is chosen so that a set of distinct shingles has too few others once in ``1 / RARE`` cases. Which keys many sets share is read
+off a sample of bounded size; it only decides which blocks are left out, and no pair depends on it.
 
 Shape of the work: one shuffle of (block key, set, chain) rows, sorted, of which each run of equal keys is
 read as a stream. In a run not all pairs come out but stars: every set is paired with the first set of
 the run that it passes with. After verification and components, those runs that still hold sets of different
 components are gone through once more, now for pairs across components whose whole sketches are near enough, so no
-link is lost and no large group is written out pair by pair. Copies have one set, which each task sends once. A hot group is spread over the hundreds
-of keys that each of its sets has. Components come from alternating stars over tables (a million links and less: from
-one task); nothing is collected
-but a bitmap of fixed size, which only spares texts that surely are not needed a shuffle.
+link is lost and no large group is written out pair by pair. Copies have one set, which each task sends once. For verification
+a pair goes to a slot by its leaf, and each slot gets the text of each set once: a center of a million copies goes to as many
+slots as there are, at most. Components come from alternating stars over tables (a million links and less: from
+one task); not to converge is an error. Nothing is collected but the sample's keys and a bitmap of fixed size, which only spares
+texts that surely are not needed a shuffle.
 
 Sets and shingles go by 64-bit hashes (sets together with their size).
 
@@ -26,7 +33,9 @@ an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -37,9 +46,14 @@ from pyspark.sql import functions as F
 
 from .common import Held, drop_table, files_for, parts_for, table
 
-#: Ratio of the bounds of a size band, and bits of a block.
-BAND, BLOCK = 1.3, 32
-CHAIN = 4
+#: Ratio of the bounds of a size band, bits of a block, and blocks that travel with one.
+BAND, BLOCK, CHAIN = 1.3, 16, 4
+#: How often a set of distinct shingles may have to send a block without any.
+RARE = 1e-4
+#: Texts in the sample that tells which keys many sets share, and in how many of its sets such a key occurs.
+SAMPLE, SHARED = 4096, 4
+#: Pairs that go to a slot of the verification on average.
+SLOT = 256
 #: Bits of the sketch by which pairs of one run and different components are sifted.
 SIFT = 2048
 #: Words and sets that a task remembers, rows that it looks at together, bits of the bitmap of texts needed again.
@@ -100,35 +114,71 @@ def bounds(least: int, most: int) -> list[int]:
 _BOUNDS = bounds(1, 1 << 40)
 
 
-def bands(n: int, percent: int) -> list[tuple[int, int]]:
-    """``(band, D)`` of the bands in which a set of ``n`` shingles can meet its like.
+def most_apart(n: int, percent: int) -> int:
+    """In how many shingles a set of ``n`` may differ from one that is as similar as asked."""
+    return n * (100 - percent) // percent
+
+
+@cache
+def blocks_of(band: int, percent: int) -> tuple[int, int]:
+    """The number of blocks in a band, and in how many shingles a pair differs there at most; 0 where only equal sets are similar.
+
+    Of n shingles in m blocks at most d are hit in less than ``C(m, d) (d / m)^n`` of all cases, and then ``(m - d) / m`` of
+    the blocks are empty: for every size of the band that is to be rare.
+    """
+    least, most = -(-percent * _BOUNDS[band] // 100), _BOUNDS[band + 1] - 1
+    top = 2 * most * (100 - percent) // (100 + percent)
+    if not top:
+        return 0, 0
+    # Of each number of differences the smallest size that has it.
+    sizes = {}
+    for n in range(least, most + 1) if most < 5000 else sorted({least, most, *np.linspace(least, most, 2000).astype(int).tolist()}):
+        sizes.setdefault(min(top, most_apart(n, percent)), n)
+    log_choose = lambda m, d: math.lgamma(m + 1) - math.lgamma(d + 1) - math.lgamma(m - d + 1)
+    def rare(m: int) -> bool:
+        return all(log_choose(m, d) + n * math.log(d / m) + math.log((m - d) / m) <= math.log(RARE) for d, n in sizes.items() if d)
+
+    low, high = top + 1, top + 2
+    while not rare(high):
+        low, high = high, high + max(1, high // 50)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if rare(middle) else (middle, high)
+    return high, top
+
+
+def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """``(band, blocks, differences)`` of the bands in which a set of ``n`` shingles can meet its like.
 
     A pair meets in the band of its larger set; a set also goes to the next band if that begins within its reach.
     """
     j = int(np.searchsorted(_BOUNDS, n, side="right")) - 1
-    out = []
-    for b in (j, j + 1):
-        if b == j or 100 * n >= percent * _BOUNDS[b]:
-            # Both sets of a pair must be cut alike, so the band's bound counts and not the set's own.
-            out.append((b, 2 * (_BOUNDS[b + 1] - 1) * (100 - percent) // (100 + percent)))
-    return out
+    return [(b, *blocks_of(b, percent)) for b in (j, j + 1) if b == j or 100 * n >= percent * _BOUNDS[b]]
 
 
-def signatures(h: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and chains of a set's blocks, in all its bands; a band with D = 0 has only equal sets, and so none."""
+def signatures(h: np.ndarray, percent: int, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and chains of the blocks that a set is to be met in, in all its bands; ``shared`` are the keys to be left out where that may be."""
     keys, chains = [], []
-    for band, d in bands(len(h), percent):
-        if not d:
+    so_far = np.append(np.uint64(0), np.bitwise_xor.accumulate(mix64(h ^ _K[5])))
+    for band, blocks, top in bands(len(h), percent):
+        if not blocks:
             continue
-        blocks = d + 1
-        spot = (mix64(h + np.uint64(band)) >> np.uint64(16)) % np.uint64(blocks * BLOCK)
-        bits = np.packbits((np.bincount(spot.astype(np.int64), minlength=blocks * BLOCK) & 1).astype(np.uint8), bitorder="little").view(np.uint32)
-        folded = ((bits ^ (bits >> np.uint32(16))) & np.uint32(0xFFFF)).astype(np.uint64)
+        # The hashes are sorted and a block is a range of them, so its shingles stand together.
+        at = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        ends = np.searchsorted(at, np.arange(blocks + 1))
+        whole = so_far[ends[1:]] ^ so_far[ends[:-1]]
+        bits = np.packbits((np.bincount(at * BLOCK + (h & np.uint64(BLOCK - 1)).astype(np.int64), minlength=blocks * BLOCK) & 1).astype(np.uint8), bitorder="little").view(np.uint16).astype(np.uint64)
         chain = np.zeros(blocks, np.uint64)
-        for i in range(1, min(CHAIN, d) + 1):
-            chain |= np.roll(folded, -i) << np.uint64(16 * (i - 1))
-        at = np.arange(blocks, dtype=np.uint64)
-        keys.append(mix64(bits.astype(np.uint64) * _K[0] + at * _K[1] + np.array([band], np.uint64) * _K[2:3]))
+        for i in range(1, min(CHAIN, blocks - 1) + 1):
+            chain |= np.roll(bits, -i) << np.uint64(16 * (i - 1))
+        key = mix64(whole + np.arange(blocks, dtype=np.uint64) * _K[1] + np.array([band], np.uint64) * _K[2:3])
+        full = np.diff(ends) > 0
+        own = full if shared is None or not len(shared) else full & (shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] != key)
+        for send in (own, full):
+            if send.sum() > min(top, most_apart(len(h), percent)):
+                key, chain = key[send], chain[send]
+                break
+        keys.append(key)
         chains.append(chain)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -164,7 +214,26 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, docs.select("doc_id").schema.add("n", "long").add("sid", "long"))
 
 
-def keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def shared_keys(docs: DataFrame, k: int, percent: int) -> np.ndarray:
+    """The keys that ``SHARED`` sets and more of a sample of ``SAMPLE`` texts have, sorted: at most the sample's keys by ``SHARED``."""
+    drawn = docs.where("text is not null").select(F.xxhash64("text", F.lit(5)).alias("at"), F.col("text").cast("binary").alias("text")).orderBy("at").limit(SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen = [np.zeros(0, np.uint64)], set()
+        for b in batches:
+            for t in b.column(0):
+                h = shingles(t.as_py(), k)
+                if len(h) and set_id(h) not in seen:
+                    seen.add(set_id(h))
+                    found.append(np.unique(signatures(h, percent)[0]))
+        key, n = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([key[n >= SHARED].tobytes()], pa.binary())], ["keys"])
+
+    row = drawn.select("text").coalesce(1).mapInArrow(run, "keys binary").first()
+    return np.frombuffer(row[0], np.uint64) if row else np.zeros(0, np.uint64)
+
+
+def keys(docs: DataFrame, k: int, percent: int, shared: np.ndarray | None = None) -> DataFrame:
     """``(key, sid, chain)`` for every block of every distinct set; a task sends a set once as long as it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +255,7 @@ def keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 if len(seen) >= SETS:
                     seen.clear()
                 seen.add(s)
-                key, chain = signatures(h, percent)
+                key, chain = signatures(h, percent, shared)
                 if len(key):
                     out.append((key, np.full(len(key), s, np.int64).view(np.uint64), chain))
                     rows += len(key)
@@ -236,7 +305,7 @@ def _left_out(group: np.ndarray, size: np.ndarray, center_of: np.ndarray, chain:
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """``(kind, a, b, c)``: kind 0 are pairs of sets (a, b); kind 1 the rows (key, sid, chain) of runs to look at again."""
+    """``(kind, a, b, c)``: kind 0 are pairs of a center a and another set b; kind 1 the rows (key, sid, chain) of runs to look at again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, sid, chain in _runs(batches):
@@ -256,8 +325,7 @@ def stars(rows: DataFrame) -> DataFrame:
                 center = center[~head]
                 ok = passes(chain[rest], chain[center])
                 if ok.any():
-                    x, y = sid[rest[ok]], sid[center[ok]]
-                    pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                    pairs.append(np.stack([sid[center[ok]], sid[rest[ok]]], 1))
                     center_of[rest[ok]] = center[ok]
                 live = rest[~ok]
                 left = np.bincount(group[live], minlength=len(size)) if len(live) else size
@@ -278,7 +346,7 @@ def sketch(h: np.ndarray) -> bytes:
 
 
 def across(rows: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: pairs of sets of one run and different labels that pass, and whose sketches do.
+    """``(a, b, center)``: pairs of sets of one run and different labels that pass, and whose sketches do.
 
     ``rows`` is ``(key, label, sid, chain, n, sketch)``.
     """
@@ -300,12 +368,17 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
                         most = (n[ok] + n[r]) * (100 - percent) // (100 + percent)
                         ok = ok[np.bitwise_count(bits[ok] ^ bits[r]).sum(1, dtype=np.int64) <= most]
                     if len(ok):
-                        pairs.append(np.stack([np.minimum(sid[ok], sid[r]), np.maximum(sid[ok], sid[r])], 1))
+                        pairs.append(np.stack([np.full(len(ok), sid[r]), sid[ok]], 1))
             if pairs:
                 p = np.unique(np.concatenate(pairs), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "label").mapInArrow(run, "a long, b long").distinct()
+    return unordered(rows.repartition("key").sortWithinPartitions("key", "label").mapInArrow(run, "a long, b long"))
+
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    """``(a, b, center)`` of each pair once, a the lesser: of ``(center, other)`` that several runs may have, either way round."""
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.col("a")).alias("center"))
 
 
 def perhaps(ids: DataFrame):
@@ -347,37 +420,40 @@ def sketches(needed: DataFrame, docs: DataFrame, of: DataFrame, k: int, held: He
     return texts.mapInArrow(run, "sid long, n long, sketch binary").dropDuplicates(["sid"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: int, held: Held, parts: int) -> DataFrame:
-    """Those of ``pairs`` whose sets are as similar as asked, by the texts of one document each."""
-    chosen = held(chosen_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), of))
-    # Both joins are on the documents' ids, so that texts are dealt out once for both.
-    texts = _texts(docs).where(perhaps(chosen))
-    for side in "ab":
-        pairs = pairs.join(chosen.select(F.col("sid").alias(side), F.col("doc_id").alias(f"doc_{side}")), side)
-    both = pairs.hint("merge").join(texts, F.col("doc_a") == F.col("doc_id")).select("a", "b", "doc_b", F.col("text").alias("text_a"))
-    both = both.hint("merge").join(texts, F.col("doc_b") == F.col("doc_id")).select("a", "b", "text_a", F.col("text").alias("text_b"))
+def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: int, held: Held, n: int) -> DataFrame:
+    """Those of the ``n`` ``pairs`` whose sets are as similar as asked, by the texts of one document each."""
+    slots = max(1, n // SLOT)
+    dealt = held(pairs.select(F.pmod(F.xxhash64(F.when(F.col("center") == F.col("a"), F.col("b")).otherwise(F.col("a"))), F.lit(slots)).alias("slot"), "a", "b"))
+    needed = held(dealt.select("slot", F.explode(F.array("a", "b")).alias("sid")).distinct())
+    chosen = held(chosen_of(needed.select("sid").distinct(), of))
+    # Hinted so that the plan is the same at every size.
+    texts = _texts(docs).where(perhaps(chosen)).join(needed.join(chosen, "sid").hint("merge"), "doc_id")
+    rows = texts.select("slot", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "text").union(dealt.select("slot", F.lit(1), "a", "b", F.lit(None).cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of one set mostly come together, so the last set of each side is kept.
-        last: dict[int, tuple[int, np.ndarray]] = {}
+        # Of a slot the texts come first.
+        slot, have = -1, {}
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
+            own, kind, left, right = (batch.column(i).to_pylist() for i in range(4))
             for i in range(batch.num_rows):
-                h = []
-                for side in (0, 1):
-                    # A doc_id may stand on several texts, so the text counts and not the set alone.
-                    s = batch.column(2 + side)[i].as_py()
-                    if last.get(side, (None,))[0] != s:
-                        last[side] = s, shingles(s, k)
-                    h.append(last[side][1])
-                if set_id(h[0]) == batch.column(0)[i].as_py() and set_id(h[1]) == batch.column(1)[i].as_py():
+                if own[i] != slot:
+                    slot, have = own[i], {}
+                if kind[i] == 0:
+                    h = shingles(batch.column(4)[i].as_py(), k)
+                    # A doc_id may stand on several texts, so the text counts.
+                    if set_id(h) == left[i]:
+                        have[left[i]] = h
+                elif left[i] in have and right[i] in have:
+                    h = have[left[i]], have[right[i]]
                     common = len(np.intersect1d(*h, assume_unique=True))
                     keep[i] = 100 * common >= percent * (len(h[0]) + len(h[1]) - common)
             got = batch.select(["a", "b"]).filter(pa.array(keep))
             if got.num_rows:
                 yield got
 
-    return table(both.mapInArrow(run, "a long, b long").distinct(), "links", parts)
+    linked = rows.repartition("slot").sortWithinPartitions("slot", "kind").mapInArrow(run, "a long, b long")
+    return table(linked, "links", files_for(n))
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +482,8 @@ def components(links: DataFrame, parts: int = 1, most: int = 60) -> DataFrame:
     """``(node, label)`` of every node of the links ``(a, b)``: the label is the least node of its component.
 
     Links of one file (``ROWS_A_FILE`` at most) are joined in one task. More take alternating large and small stars; each
-    round is a table of ``parts`` files, so lost executors cost no more than a round.
+    round is a table of ``parts`` files, so lost executors cost no more than a round. Their number grows with the logarithm of
+    the links; should ``most`` not do, that is an error.
     """
     if parts == 1:
         return links.select("a", "b").coalesce(1).mapInArrow(forest, "node long, label long")
@@ -426,6 +503,8 @@ def components(links: DataFrame, parts: int = 1, most: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise ValueError(f"components of {now[0]} edges have not settled after {most} rounds")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.union(nodes.select(F.col("label").alias("node"), "label").distinct())
 
@@ -433,13 +512,24 @@ def components(links: DataFrame, parts: int = 1, most: int = 60) -> DataFrame:
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, a row for each row of ``docs``."""
     held = Held()
+    try:
+        own = _labelled(docs, k, percent, held)
+    finally:
+        held.free()
+    first = own.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
+    # Documents without shingles have no label and join nothing.
+    return own.join(first, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _labelled(docs: DataFrame, k: int, percent: int, held: Held) -> DataFrame:
+    """A table of ``(doc_id, n, label)``: the label is the least set of the component."""
     of = held(sets(docs, k))
-    found = held(stars(keys(docs, k, percent)))
-    pairs = held(found.where("kind = 0").select("a", "b").distinct())
+    found = held(stars(keys(docs, k, percent, shared_keys(docs, k, percent))))
+    pairs = held(unordered(found.where("kind = 0").select("a", "b")))
     # Every plan over kept frames carries theirs along, so each is counted once only.
     total = pairs.count()
+    links = verify(pairs, docs, of, k, percent, held, total)
     parts = files_for(total)
-    links = verify(pairs, docs, of, k, percent, held, parts)
     label = table(components(links, parts), "labels", parts)
     # Runs with sets of several components may hide links that the stars left out.
     again = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), F.col("c").alias("chain"))
@@ -448,18 +538,14 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     again = held(again.join(mixed, "key").select("key", "label", "sid", "chain"))
     whole = sketches(again.select("sid").distinct(), docs, of, k, held)
     more = across(again.join(whole, "sid").select("key", "label", "sid", "chain", "n", "sketch"), percent)
-    more = held(more.join(pairs, ["a", "b"], "left_anti"))
+    more = held(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "center"))
     n = more.count()
     if n:
-        links = links.union(verify(more, docs, of, k, percent, held, files_for(n)))
+        links = links.union(verify(more, docs, of, k, percent, held, n))
         parts = files_for(total + n)
         label = table(components(links, parts), "labels", parts)
     own = of.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label"))
-    own = table(own, "labelled", files_for(of.count()))
-    held.free()
-    first = own.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
-    # Documents without shingles have no label and join nothing.
-    return own.join(first, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+    return table(own, "labelled", files_for(of.count()))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -65,13 +65,56 @@ def test_no_similar_pair_is_missed_by_the_blocks():
             common = len(np.intersect1d(a, b))
             if 100 * common < 85 * (len(a) + len(b) - common) or np.array_equal(a, b):
                 continue
-            (ka, ca), (kb, cb) = P.signatures(a, 85), P.signatures(b, 85)
-            _, i, j = np.intersect1d(ka, kb, return_indices=True)
-            assert P.passes(ca[i], cb[j]).any()
+            every = np.unique(np.append(P.signatures(a, 85)[0], P.signatures(b, 85)[0]))
+            # Whichever keys are to be left out, some block is met in.
+            for share in (0, 0.02, 0.1, 0.5, 1):
+                shared = every[rng.random(len(every)) < share]
+                (ka, ca), (kb, cb) = P.signatures(a, 85, shared), P.signatures(b, 85, shared)
+                _, i, j = np.intersect1d(ka, kb, return_indices=True)
+                assert P.passes(ca[i], cb[j]).any()
             x = np.frombuffer(P.sketch(a), np.uint64) ^ np.frombuffer(P.sketch(b), np.uint64)
             assert np.bitwise_count(x).sum() <= 15 * (len(a) + len(b)) // 185
 
 
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+@pytest.mark.parametrize(("n", "sets"), [(7, 40_000), (10, 40_000), (14, 40_000), (18, 40_000), (30, 40_000), (60, 20_000), (100, 20_000), (300, 10_000), (1000, 10_000)])
+def test_no_key_is_hot_among_random_sets(n, sets, k, percent):
+    """The hottest key of random sets belongs to at most one of ten thousand (and one more, by chance)."""
+    rng = np.random.default_rng(n)
+    all_keys = [P.signatures(np.unique(x), percent)[0] for x in rng.integers(0, 1 << 63, (sets, n)).astype(np.uint64) * np.uint64(2)]
+    assert np.unique(np.concatenate(all_keys), return_counts=True)[1].max(initial=0) <= 1 + sets * 1e-4
+    assert max(map(len, all_keys)) <= 2 * n
+
+
+def test_a_passage_that_many_share_makes_no_hot_key(spark):
+    """Texts of their own around one passage: its keys are found in the sample and left out, and links stay."""
+    passage = words(100, 7, 9000)
+    texts = [" ".join(words(100, 1000 + i, 9000) + passage + words(100, 9000 + i, 9000)) for i in range(200)]
+    texts += [t.replace(t.split()[5], "changed", 1) for t in texts[:10]]
+    d = docs(spark, texts)
+    shared = P.shared_keys(d, 4, 85)
+    assert len(shared)
+    hottest = lambda shared: P.keys(d, 4, 85, shared).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert hottest(None) > 8 and hottest(shared) < P.SHARED
+    got = {r.doc_id: r.component_id for r in P.join(d).collect()}
+    assert [got[i] for i in range(210)] == [c for _, c in components(texts, 4, 85)]
+
+
+def test_unsettled_components_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(ValueError, match="not settled"):
+        P.components(links, 2, most=2)
+
+
+def test_kept_frames_are_given_back_on_errors(spark, monkeypatch):
+    freed = []
+    monkeypatch.setattr(P.Held, "free", lambda self: freed.append(1))
+    monkeypatch.setattr(P, "_labelled", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        P.join(docs(spark, ["a"]))
+    assert freed
+
+
 def test_components_of_links(spark):
     rng = random.Random(4)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(200, i) for i in range(201, 260)] + [(300 + i, 301 + i) for i in range(40)]
