@@ -453,7 +453,8 @@ def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: in
                 yield got
 
     linked = rows.repartition("slot").sortWithinPartitions("slot", "kind").mapInArrow(run, "a long, b long")
-    return table(linked, "links", files_for(n))
+    # Dealt out anew, or few files would mean few tasks for all of the work above.
+    return table(linked.distinct(), "links", files_for(n))
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
