@@ -1,16 +1,22 @@
 """PII surrogates: detected entities give way to keyed, type-consistent replacements, in DataFrame operations alone.
 
 Entities are e-mail addresses, telephone numbers, IPv4 addresses, card numbers (13 to 19 digits), US social security
-numbers, IBANs and personal names after a title. An entity's surrogate depends on the key, its type and its canonical
-form (digits alone, lower case, ...), so that one person or number has one surrogate wherever and however it is written.
-Digits become digits and letters become letters of the same script and case, separators stay; cards keep their validity by
-check digit, IBANs their country, telephone numbers their country code; names keep their title, and with it their gender,
-and their script.
+numbers, IBANs and personal names. A name is found after a title; its words are then found wherever they stand in the same text
+as whole words with the same capitals, with or without a title. Names in texts that never give them a title are not found.
+
+An entity's surrogate depends on the key, its type and its canonical form (digits alone, lower case, ...), so that one person or
+number has one surrogate wherever and however it is written. Digits become digits and letters become letters of the same script
+and case, separators stay; cards keep their validity by check digit, IBANs their country, telephone numbers their country code.
+Names go word by word, the last word after a title as family name and those before it as given names, so that "Dr Jane Doe",
+"Mrs Doe" and "Jane" agree: a family name has one surrogate, and a given name one for each gender. Its gender is that of the title;
+after a title without one, it is the gender of all other titles that the given name has in the corpus, if that is one.
+Titles and scripts stay.
 
 Surrogates are checked for collisions over all documents: where two canonical forms would get one surrogate, or a surrogate is
 itself an entity of the corpus, all but the first get another try number, until none is left; should ``TRIES`` rounds not do, that
-is an error. Names count too: their lists are soon used up, and further tries make family names of syllables. Only the tries
-above 0 are kept, a table that is joined to the documents that need it; with none documents are not joined or shuffled.
+is an error. Lists of names are soon used up, and further tries make names of syllables. Only what differs from a first try
+is kept, as a table that is joined to entities. A bitmap of ``BITMAP`` bits tells which texts may have such entities (the
+fuller it is the more); the others are neither joined nor shuffled.
 
 Defined results: a null text stays null and an empty one empty; texts are read whole; equal rows get equal results; of
 overlapping entities the leftmost, and then the first kind in ``KINDS``, counts; an empty table gives an empty result; extra columns pass
@@ -24,11 +30,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import bound, fresh, table
 
 KEY = "millrace-surrogates-1"
 KINDS = ("email", "iban", "phone", "ssn", "card", "ip", "name")
 TRIES = 40
+#: Bits of the map of entities that are not first tries; it is a constant of the plan.
+BITMAP = 1 << 18
 
 # Titles by gender, and given and family names by script and gender.
 TITLES = {
@@ -50,12 +58,13 @@ NAMES = {
     ("greek", "n"): "Χάρις Άρτεμις Αγάπη".split(),
     ("greek", "last"): "Αλεξίου Βλάχου Γαλάνη Δούκα Ζέρβα Ιωάννου Κόλλια Λάππα Μακρή Νικολάου".split(),
 }
-#: Syllables by script, 100 each; further tries make family names of them.
+#: Syllables by script, 100 each, of which further tries make names, and how these end by gender.
 SYLLABLES = {
     "latin": [c + v for c in "b d f g h j k l m n p r s t v w z br kl st".split() for v in "aeiou"],
     "cyrillic": [c + v for c in "б в г д ж з к л м н п р с т ф х ц ш бр ст".split() for v in "аеиоу"],
     "greek": [c + v for c in "β γ δ ζ θ κ λ μ ν ξ π ρ σ τ φ χ ψ βρ κλ στ".split() for v in "αειου"],
 }
+ENDINGS = {"latin": {"f": "na", "m": "ro", "n": "is"}, "cyrillic": {"f": "на", "m": "мир", "n": "ша"}, "greek": {"f": "να", "m": "ρος", "n": "χη"}}
 
 _EDGE, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
@@ -66,8 +75,9 @@ PATTERNS = {
     "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "card": _EDGE + r"(?:[0-9]{4}[\x20-]){3}[0-9]{1,7}" + _END + "|" + _EDGE + r"[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}" + _END + "|" + _EDGE + r"[0-9]{13,19}" + _END,
     "ip": r"(?<![0-9A-Za-z_.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9A-Za-z_])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.?\x20\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.?\x20\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
 }
+_TITLED = rf"^((?:{_TITLE})\.?\x20)"
 #: One scan for all kinds; where several begin at one place the first counts.
 PATTERN = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 #: What every entity has, to pass over the other texts quickly.
@@ -75,16 +85,16 @@ HINT = rf"[0-9@]|(?:{_TITLE})\.?\x20\p{{Lu}}"
 
 
 def kind_of(found: Column) -> Column:
-    """The first kind whose pattern is the whole of an entity."""
-    tests = [found.contains("@"), *(found.rlike(rf"\A(?:{PATTERNS[k]})\z") for k in KINDS[1:-1])]
-    return reduce(lambda rest, kt: F.when(kt[1], F.lit(kt[0])).otherwise(rest), reversed(list(zip(KINDS[:-1], tests, strict=True))), F.lit("name"))
+    """The first kind whose pattern is the whole of an entity; "mention" is a word of a name that has no title."""
+    tests = [found.contains("@"), *(found.rlike(rf"\A(?:{PATTERNS[k]})\z") for k in KINDS[1:])]
+    return reduce(lambda rest, kt: F.when(kt[1], F.lit(kt[0])).otherwise(rest), reversed(list(zip(KINDS, tests, strict=True))), F.lit("mention"))
 
 
 def canonical(kind: Column, found: Column) -> Column:
     """What is the same for all spellings of one entity."""
     bare = F.regexp_replace(found, r"[^0-9A-Za-z]", "")
     digits = F.regexp_replace(found, r"[^0-9]", "")
-    return F.when(kind == "email", F.lower(found)).when(kind == "iban", bare).when(kind == "ip", found).when(kind == "name", F.regexp_replace(found, rf"^(?:{_TITLE})\.?\x20", "")).otherwise(digits)
+    return F.when(kind.isin("email", "given", "family"), F.lower(found)).when(kind == "iban", bare).when(kind == "ip", found).otherwise(digits)
 
 
 def _stream(key: str, kind: Column, canon: Column, attempt: Column, n: int = 2) -> Column:
@@ -127,10 +137,9 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(d, F.lit(0), lambda a, x: a + F.when(x["i"] % 2 == 0, x["d"]).otherwise(x["d"] * 2 - F.when(x["d"] > 4, 9).otherwise(0)))
 
 
-def _card(found: Column, stream: Column) -> Column:
+def _card(found: Column, poured: Column, stream: Column) -> Column:
     """First digit kept; the last one makes the number valid exactly where ``found`` was."""
-    poured = F.concat(F.substr(found, F.lit(1), F.lit(1)), F.substr(_poured(found, stream), F.lit(2)))
-    head = F.substr(poured, F.lit(1), F.length(poured) - 1)
+    head = F.concat(F.substr(found, F.lit(1), F.lit(1)), F.substr(poured, F.lit(2), F.length(poured) - 2))
     check = F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(F.regexp_replace(head, "[^0-9]", ""), F.lit("0"))), F.lit(10)), F.lit(10))
     valid = F.pmod(_luhn(F.regexp_replace(found, "[^0-9]", "")), F.lit(10)) == 0
     off = F.pmod(check + 1 + F.pmod(_number(stream, 30), F.lit(9)), F.lit(10))
@@ -148,81 +157,129 @@ def _gender(found: Column) -> Column:
     return gender
 
 
-def _name(found: Column, canon: Column, stream: Column, attempt: Column) -> Column:
-    """Title kept; given and family names of its gender and of the name's script."""
-    title = F.regexp_extract(found, rf"^((?:{_TITLE})\.?\x20)", 1)
-    gender = _gender(title)
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    choose = lambda s, role, at: F.element_at(F.array(*map(F.lit, NAMES[s, role])), F.pmod(_number(stream, at, 4), F.lit(len(NAMES[s, role]))) + 1)
-    of = lambda role, at: F.when(script == "cyrillic", choose("cyrillic", role, at)).when(script == "greek", choose("greek", role, at)).otherwise(choose("latin", role, at))
-    first = F.when(gender == "f", of("f", 0)).when(gender == "m", of("m", 0)).otherwise(of("n", 0))
-    # The lists are short. Further tries make family names of syllables, one more each time, so that there is room for as many people as there are.
-    parts = F.split(F.when(script == "cyrillic", " ".join(SYLLABLES["cyrillic"])).when(script == "greek", " ".join(SYLLABLES["greek"])).otherwise(" ".join(SYLLABLES["latin"])), " ")
-    made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.least(attempt.cast("int") + 2, F.lit(8))), lambda i: F.element_at(parts, F.pmod(_number(stream, i + 1, 4), F.lit(100)) + 1)), ""))
-    last = F.when(attempt > 0, made).otherwise(of("last", 1))
-    return F.concat(title, F.when(canon.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last))
+def script_of(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def name_word(word: Column, kind: Column, by: Column, attempt: Column, key: str = KEY) -> Column:
+    """The surrogate of a given name (of the gender ``by``) or family name, capital for capital."""
+    script, role = script_of(word), F.when(kind == "family", "last").otherwise(by)
+    choose = lambda table: F.split(reduce(lambda rest, st: F.when(st[0], F.lit(st[1])).otherwise(rest), table, F.lit("")), " ")
+    lists = choose([((script == s) & (role == r), " ".join(names)) for (s, r), names in NAMES.items()])
+    parts = choose([(script == s, " ".join(x)) for s, x in SYLLABLES.items()])
+    end = choose([((script == s) & (role == g), x) for s, ends in ENDINGS.items() for g, x in ends.items()])
+
+    def new(stream: Column) -> Column:
+        listed = bound(lists, lambda names: F.element_at(names, F.pmod(_number(stream, 1, 4), F.size(names)) + 1))
+        # The lists are short. Further tries make names of syllables, one more each time, so that there is room for as many people as there are.
+        some = F.sequence(F.lit(1), F.least(attempt.cast("int") + 2, F.lit(8)))
+        made = bound(parts, lambda parts: F.array_join(F.transform(some, lambda i: F.element_at(parts, F.pmod(_number(stream, i + 1, 4), F.lit(100)) + 1)), ""))
+        return F.when(attempt > 0, F.initcap(F.concat(made, F.element_at(end, 1)))).otherwise(listed)
+
+    made = bound(_stream(key, kind, F.concat_ws("\x1f", by, F.lower(word)), attempt.cast("string")), new)
+    return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(made)).otherwise(made)
 
 
 def surrogate(found: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of an entity as it is written."""
-    kind = kind_of(found)
-    canon = canonical(kind, found)
-    stream = _stream(key, kind, canon, attempt.cast("string"))
-    at = F.instr(found, "@")
-    top = F.regexp_extract(found, r"(\.[A-Za-z]+)$", 1)
-    poured = _poured(found, stream)
+    """The replacement of an entity, other than a name, as it is written."""
     # Of an address all but the top domain is replaced.
-    lowered = _poured(F.substr(found, F.lit(1), F.length(found) - F.length(top)), stream)
+    top = F.when(found.contains("@"), F.regexp_extract(found, r"(\.[A-Za-z]+)$", 1)).otherwise("")
     code = F.regexp_extract(found, r"^(\+[0-9]{1,3})", 1)
-    # A digit that may not begin a number stays within 2 to 9.
-    return (F.when(at > 0, F.concat(lowered, top)).when(kind == "iban", F.concat(F.substr(found, F.lit(1), F.lit(2)), F.substr(poured, F.lit(3))))
-            .when(kind == "phone", F.concat(code, F.substr(poured, F.length(code) + 1))).when(kind == "card", _card(found, stream))
-            .when(kind == "ip", _ip(stream)).when(kind == "name", _name(found, canon, stream, attempt)).otherwise(poured))
+
+    def of(kind: Column, stream: Column, poured: Column) -> Column:
+        return (F.when(kind == "email", F.concat(poured, top)).when(kind == "iban", F.concat(F.substr(found, F.lit(1), F.lit(2)), F.substr(poured, F.lit(3))))
+                .when(kind == "phone", F.concat(code, F.substr(poured, F.length(code) + 1))).when(kind == "card", _card(found, poured, stream))
+                .when(kind == "ip", _ip(stream)).otherwise(poured))
+
+    # Each is bound, as it stands in the next one many times.
+    body = F.substr(found, F.lit(1), F.length(found) - F.length(top))
+    poured = lambda kind, stream: bound(_poured(body, stream), lambda p: of(kind, stream, p))
+    return bound(kind_of(found), lambda kind: bound(_stream(key, kind, canonical(kind, found), attempt.cast("string")), lambda stream: poured(kind, stream)))
 
 
 def entities(text: Column) -> Column:
-    """The entities of a text, in order, as they are written."""
+    """The entities of a text, in order, as they are written; of names those with a title."""
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def made_new(state: DataFrame, kinds: set[str], key: str) -> DataFrame:
-    """``state``, with ``kind``, ``canon``, ``found`` and ``attempt``, plus ``new``, the surrogates; ``kinds`` has those that occur.
+FORM = "struct<kind:string,canon:string,by:string,found:string>"
+
+
+def form(kind: Column, found: Column, by: Column | None = None) -> Column:
+    return F.struct(kind.alias("kind"), canonical(kind, found).alias("canon"), (F.lit("") if by is None else F.when(kind == "given", by).otherwise("")).alias("by"), found.alias("found")).cast(FORM)
+
+
+def name_forms(found: Column) -> Column:
+    """A form for each word of a name with its title."""
+    word = lambda names, by: F.transform(names, lambda w, i: bound(F.when(i == F.size(names) - 1, "family").otherwise("given"), lambda kind: form(kind, w, by)))
+    return bound(_gender(found), lambda by: bound(F.split(F.regexp_replace(found, _TITLED, ""), " "), lambda names: word(names, by)))
 
-    The expression for all kinds is long to plan, so names, which are tried most, go by their part of it.
+
+def forms(found: Column) -> Column:
+    """The forms of the entities ``found``; each has a surrogate of its own."""
+    each = lambda m: bound(kind_of(m), lambda kind: F.when(kind == "name", name_forms(m)).otherwise(F.array(form(kind, m))))
+    return F.when(F.size(found) > 0, F.flatten(F.transform(found, each))).otherwise(F.array().cast(f"array<{FORM}>"))
+
+
+def pool(kind: Column) -> Column:
+    """What must differ: all name words from each other, and others within their kind."""
+    return F.when(kind.isin("given", "family"), "word").otherwise(kind)
+
+
+def made_new(state: DataFrame, key: str) -> DataFrame:
+    """``state``, with ``kind``, ``canon``, ``by``, ``found`` and ``attempt``, plus ``image``, the canonical form of the surrogate.
+
+    The expression for all kinds is long to plan, so only that of the kinds that occur is.
     """
-    stream = _stream(key, F.col("kind"), F.col("canon"), F.col("attempt").cast("string"))
-    names = state.where("kind = 'name'").withColumn("new", _name(F.col("found"), F.col("canon"), stream, F.col("attempt")))
-    return names.union(state.where("kind != 'name'").withColumn("new", surrogate(F.col("found"), F.col("attempt"), key))) if kinds - {"name"} else names
+    kinds = {r["kind"] for r in state.select("kind").distinct().collect()}  # at most ``KINDS`` and two more
+    words = state.where("kind in ('given', 'family')").withColumn("image", canonical(F.col("kind"), name_word(F.col("found"), F.col("kind"), F.col("by"), F.col("attempt"), key)))
+    rest = state.where("kind not in ('given', 'family')").withColumn("image", canonical(F.col("kind"), surrogate(F.col("found"), F.col("attempt"), key)))
+    return words if kinds <= {"given", "family"} else rest if not kinds & {"given", "family"} else words.union(rest)
 
 
 def tries(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``(kind, canon, attempt)`` of the entities that need a try above 0, over all of ``docs``.
+    """``(kind, canon, by, sex, attempt)`` of the forms that need a try above 0, or another gender than their title says, over all of ``docs``.
 
     Each round keeps, of the forms that share a surrogate, one: the one settled longest, then the least; the others, and those whose
-    surrogate is an entity itself, try again. An entity is tried in its least spelling, and a name in that for each gender of its titles,
-    as given names go by it. A round that is not the first makes only the surrogates of those that try again.
+    surrogate is an entity itself, try again. A form is tried in its least spelling. A round that is not the first makes only the
+    surrogates of those that try again.
     """
-    found = docs.select(F.explode(entities(F.col("text"))).alias("found"))
-    kind = kind_of(F.col("found"))
-    by = F.when(kind == "name", _gender(F.col("found"))).otherwise("")
-    forms = table(found.groupBy(kind.alias("kind"), canonical(kind, F.col("found")).alias("canon"), by.alias("by")).agg(F.min("found").alias("found")).drop("by"), "entities")
-    kinds = lambda state: {r["kind"] for r in state.select("kind").distinct().collect()}
-    imaged = lambda state: made_new(state, kinds(state), key).withColumn("image", canonical(F.col("kind"), F.col("new"))).drop("new")
-    same = lambda a, b: (F.col(f"{a}.kind") == F.col(f"{b}.kind")) & (F.col(f"{a}.image") == F.col(f"{b}.canon"))
-    made = table(imaged(forms.select("kind", "canon", "found", F.lit(0).alias("attempt"))), "images")
+    found = docs.select(F.inline(forms(entities(F.col("text")))))
+    seen = table(found.groupBy("kind", "canon", "by").agg(F.min("found").alias("found")), "entities")
+    genders = seen.where("kind = 'given' and by != 'n'").groupBy("canon").agg(F.min("by").alias("x"), F.max("by").alias("y")).where("x = y").select(F.lit("given").alias("kind"), "canon", F.lit("n").alias("by"), F.col("x").alias("sex"))
+    known = table(seen.join(genders, ["kind", "canon", "by"], "left").withColumn("sex", F.coalesce("sex", "by")), "forms")
+    state = known.groupBy("kind", "canon", F.col("sex").alias("by")).agg(F.min("found").alias("found")).withColumn("attempt", F.lit(0))
+    made = table(made_new(state, key), "images")
+    own, ours = F.struct("attempt", "kind", "canon", "by"), ["kind", "canon", "by"]
     for _ in range(TRIES):
-        first = made.groupBy("kind", "image").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        twice = made.alias("m").join(first.alias("f"), ["kind", "image"]).where((F.col("m.canon") != F.col("f.first.canon"))).select("kind", "m.canon")
-        taken = made.alias("m").join(forms.alias("f"), same("m", "f")).select("m.kind", "m.canon")
+        first = made.groupBy(pool(F.col("kind")).alias("pool"), "image").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1")
+        twice = made.withColumn("pool", pool(F.col("kind"))).join(first, ["pool", "image"]).where(own != F.col("first")).select(*ours)
+        real = known.select(pool(F.col("kind")).alias("pool"), F.col("canon").alias("image")).distinct()
+        taken = made.withColumn("pool", pool(F.col("kind"))).join(real, ["pool", "image"], "left_semi").select(*ours)
         again = table(twice.union(taken).distinct(), "again")
         if not again.limit(1).count():
             break
-        rest = made.join(again, ["kind", "canon"], "left_anti").select("kind", "canon", "found", "attempt", "image")
-        more = made.join(again, ["kind", "canon"], "left_semi").select("kind", "canon", "found", (F.col("attempt") + 1).alias("attempt"))
-        made = table(rest.union(imaged(more)), "images")
+        rest = made.join(again, ours, "left_anti").select(*ours, "found", "attempt", "image")
+        more = made.join(again, ours, "left_semi").select(*ours, "found", (F.col("attempt") + 1).alias("attempt"))
+        made = table(rest.union(made_new(more, key)), "images")
     else:
         raise ValueError(f"entities that still share a surrogate after {TRIES} tries: {sorted({r.kind for r in again.select('kind').distinct().collect()})}")
-    return table(made.where("attempt > 0").select("kind", "canon", "attempt").distinct(), "tries")
+    done = made.select("kind", "canon", F.col("by").alias("sex"), "attempt")
+    return table(known.select("kind", "canon", "by", "sex").join(done, ["kind", "canon", "sex"]).where("attempt > 0 or sex != by").select("kind", "canon", "by", "sex", "attempt"), "tries")
+
+
+def bitmap(rows: DataFrame) -> Column:
+    """The constant array of longs in which the slots of the forms ``rows`` are set."""
+    slot = F.pmod(F.xxhash64("kind", "canon", "by"), F.lit(BITMAP))
+    words = rows.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits"))
+    out = [0] * (BITMAP // 64)
+    for r in words.collect():  # at most BITMAP / 64 rows
+        out[r["w"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<bigint>")
+
+
+def label(f: Column) -> Column:
+    return F.concat_ws("\x1f", f["kind"], f["by"], f["canon"])
 
 
 def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
@@ -230,28 +287,59 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
 
     ``n_chars`` is counted anew where there is such a column and the text has changed.
     """
-    counts, = fresh(docs, "n_entities")
+    counts, of, titled, at = fresh(docs, "n_entities", "_of", "_titled", "_at")
     source = docs if text == "text" else docs.withColumn("text", F.col(text))
     more = tries(source.select("text"), key)
-    if more.limit(1).count():
-        # The surrogates of a document's entities that are not first tries come to it as a map; only documents with such entities are touched.
-        wanted = docs.select(F.xxhash64(text).alias("_at"), F.explode(F.array_distinct(entities(F.col(text)))).alias("found"))
-        kind = kind_of(F.col("found"))
-        wanted = wanted.select("_at", "found", kind.alias("kind"), canonical(kind, F.col("found")).alias("canon")).join(more, ["kind", "canon"]).distinct()
-        wanted = made_new(wanted, {r["kind"] for r in more.select("kind").distinct().collect()}, key)
-        maps = wanted.groupBy("_at").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("found", "new")))).alias("_tries"))
-        ready = docs.withColumn("_key", F.xxhash64(text)).join(maps, F.col("_key") == F.col("_at"), "left")
-        new = lambda m: F.coalesce(F.try_element_at("_tries", m), surrogate(m, F.lit(0), key))
-    else:
-        ready, new = docs, lambda m: surrogate(m, F.lit(0), key)
+    ready = docs.withColumn(titled, entities(F.col(text)))
+    none = F.lit(None).cast("map<string,struct<sex:string,attempt:int>>")
+    if not more.limit(1).count():
+        return _replaced(ready.withColumn(of, none), docs, key, text, counts, of, titled)
+    bits = bitmap(more)
+    slot = lambda f: F.pmod(F.xxhash64(f["kind"], f["canon"], f["by"]), F.lit(BITMAP))
+    hit = F.coalesce(F.exists(forms(F.col(titled)), lambda f: F.getbit(F.element_at(bits, F.floor(slot(f) / 64).cast("int") + 1), F.pmod(slot(f), F.lit(64)).cast("int")) == 1), F.lit(False))
+    ready = ready.withColumn(at, F.when(hit, F.xxhash64(text)))
+    touched = ready.where(F.col(at).isNotNull())
+    # What is not a first try comes to a text as a map, by the forms of its entities; equal texts have one.
+    wanted = touched.select(F.col(at).alias("_text"), F.inline(forms(F.col(titled)))).select("_text", "kind", "canon", "by").distinct().join(more, ["kind", "canon", "by"])
+    maps = wanted.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "by", "canon"), F.struct("sex", "attempt")))).alias(of))
+    joined = touched.join(maps, F.col(at) == F.col("_text"), "left").select(*docs.columns, titled, of)
+    rest = ready.where(F.col(at).isNull()).withColumn(of, none).select(*docs.columns, titled, of)
+    return _replaced(joined.union(rest), docs, key, text, counts, of, titled)
+
+
+def _replaced(ready: DataFrame, docs: DataFrame, key: str, text: str, counts: str, of: str, titled: str) -> DataFrame:
+    """``ready`` has the ``titled`` entities of each text, and ``of``, what is not a first try."""
     t = F.col(text)
-    found = F.transform(entities(t), lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind"), new(m).alias("new")))
-    ready = ready.withColumn("_found", found)
-    pieces = F.split(t, PATTERN, -1)
-    glued = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_found")), F.col("_found"), lambda p, m: F.concat(p, m["new"])), ""), F.element_at(pieces, -1))
-    hit = F.size("_found") > 0
-    of_kind = lambda k: F.size(F.filter("_found", lambda m: m["kind"] == k)).cast("long").alias(k)
+    entries, gaps, known = fresh(ready, "_found", "_pieces", "_parts")
+    ready = ready.withColumn(known, F.array_distinct(F.flatten(F.transform(F.filter(F.col(titled), lambda m: m.rlike(_TITLED)), name_forms))))
+    # Longer words first, as one may be the beginning of another.
+    words = F.array_sort(F.array_distinct(F.transform(F.col(known), lambda f: f["found"])), lambda a, b: F.length(b) - F.length(a))
+    anywhere = F.concat(F.lit(PATTERN + r"|(?<![\p{L}'’-])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}'’-])"))
+    has_name = F.size(known) > 0
+    found = F.when(has_name, F.regexp_extract_all(t, anywhere, F.lit(0))).otherwise(F.col(titled))
+    pieces = F.when(has_name, F.split(t, anywhere, -1)).otherwise(F.split(t, PATTERN, -1))
+
+    def word(f: Column) -> Column:
+        entry = F.try_element_at(of, label(f))
+        return name_word(f["found"], f["kind"], F.coalesce(entry["sex"], f["by"]), F.coalesce(entry["attempt"], F.lit(0)), key)
+
+    def other(m: Column, kind: Column) -> Column:
+        return surrogate(m, F.coalesce(F.try_element_at(of, label(form(kind, m)))["attempt"], F.lit(0)), key)
+
+    def new(m: Column, kind: Column, parts: Column) -> Column:
+        # A word that is both somebody's given and somebody's family name goes as family name.
+        own = F.array_sort(F.filter(parts, lambda f: f["found"] == m), lambda a, b: F.when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).when(a["by"] < b["by"], -1).when(a["by"] > b["by"], 1).otherwise(0))
+        words = F.when(kind == "name", name_forms(m)).otherwise(F.slice(own, 1, 1))
+        return F.when(kind.isin("name", "mention"), F.concat(F.regexp_extract(m, _TITLED, 1), F.array_join(F.transform(words, word), " "))).otherwise(other(m, kind))
+
+    hit = F.size(F.col(titled)) > 0
+    ready = ready.withColumn(gaps, F.when(hit, pieces)).withColumn(entries, F.when(hit, found).otherwise(F.array().cast("array<string>")))
+    ready = ready.withColumn(entries, F.transform(entries, lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind"))))
+    ready = ready.withColumn(entries, F.transform(entries, lambda e: F.struct(e["kind"].alias("kind"), new(e["found"], e["kind"], F.col(known)).alias("new"))))
+    glued = F.concat(F.array_join(F.zip_with(F.slice(F.col(gaps), F.lit(1), F.size(entries)), F.col(entries), lambda p, m: F.concat(p, m["new"])), ""), F.element_at(gaps, -1))
+    of_kind = lambda k: F.size(F.filter(entries, lambda m: m["kind"].isin([k, "mention"] if k == "name" else [k]))).cast("long").alias(k)
     number = F.struct(*map(of_kind, KINDS))
-    ready = ready.withColumn("_new", F.when(hit, glued).otherwise(t))
-    out = [F.col("_new").alias(c) if c == text else F.when(hit, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    changed, = fresh(ready, "_new")
+    ready = ready.withColumn(changed, F.when(hit, glued).otherwise(t))
+    out = [F.col(changed).alias(c) if c == text else F.when(hit, F.length(changed).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return ready.select(*out, number.alias(counts))

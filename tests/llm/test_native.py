@@ -316,6 +316,88 @@ def test_thousands_of_names_stay_distinct(spark):
     assert all(len(v) == 1 for v in of.values()) and not set(of) & {t.split(" ", 1)[1] for t in texts}
 
 
+def test_one_person_under_all_forms_of_the_name(spark):
+    texts = [
+        "Mrs Anna Smith called. Anna Smith said SMITH, Smith-Jones or Smithson; Dr Anna Smith and Ms Smith left.", "Dr Anna Smith wrote.", "Mr Smith answered; Anna did not.",
+        "Mr Robin Smith and Mrs Robin Smith", "Dr Robin Smith", "Dr Anna Maria Kowalski, then Maria", "Smith without a title, Anna too.", "Miss O'Neil-Brown met O'Neil-Brown.",
+    ]
+    got = [r.text for r in sorted(pii.replace(docs(spark, texts)).collect(), key=lambda r: r.doc_id)]
+    anna, smith = re.match(r"Mrs (\w+) (\w+) called", got[0]).groups()
+    assert got[0] == f"Mrs {anna} {smith} called. {anna} {smith} said SMITH, Smith-Jones or Smithson; Dr {anna} {smith} and Ms {smith} left."
+    assert anna in pii.NAMES["latin", "f"] and smith != "Smith"
+    assert got[1] == f"Dr {anna} {smith} wrote." and got[2] == f"Mr {smith} answered; Anna did not."
+    he, she = re.match(rf"Mr (\w+) {smith} and Mrs (\w+) {smith}$", got[3]).groups()
+    they = re.match(rf"Dr (\w+) {smith}$", got[4])[1]
+    assert len({he, she, they, anna}) == 4 and he in pii.NAMES["latin", "m"] and she in pii.NAMES["latin", "f"]
+    maria = re.match(rf"Dr {anna} (\w+) \w+, then (\w+)$", got[5])
+    assert maria[1] == maria[2] != "Maria" and got[6] == texts[6]
+    neil = re.match(r"Miss (\w+) met (\w+)\.$", got[7])
+    assert neil[1] == neil[2]
+
+
+def plain_surrogate(found, kind, attempt):
+    """Of digit strings, addresses and hosts, in plain Python."""
+    canon = found.lower() if kind == "email" else found if kind == "ip" else re.sub("[^0-9]", "", found)
+    stream = "".join(hashlib.sha256("\x1f".join((pii.KEY, kind, canon, str(attempt), str(i))).encode()).hexdigest() for i in range(2))
+    number = lambda i, n=3: int(stream[i * n % 120 : i * n % 120 + n], 16)
+    top = re.search(r"(\.[A-Za-z]+)$", found)[0] if kind == "email" else ""
+    out, i = "", 0
+    for c in found[: len(found) - len(top)]:
+        letters = next((x for x in ("0123456789", *pii.LETTERS[:2]) if c in x), None)
+        out, i = out + (letters[number(i) % len(letters)] if letters else c), i + bool(letters)
+    if kind == "ip":
+        return ".".join(str(number(i) % 254 + 1) for i in range(4))
+    if kind == "card":
+        head = found[0] + out[1:-1]
+        total = lambda s: sum(x if j % 2 == 0 else x * 2 - 9 * (x > 4) for j, x in enumerate(int(c) for c in reversed(re.sub("[^0-9]", "", s))))
+        check = -total(head + "0") % 10
+        return head + str(check if total(found) % 10 == 0 else (check + 1 + number(30) % 9) % 10)
+    if kind == "phone":
+        code = re.match(r"\+[0-9]{1,3}|", found)[0]
+        return code + out[len(code) :]
+    return out + top
+
+
+def test_whole_tables_by_brute_force(spark):
+    """Every text of a whole table, with collisions worked out by plain loops over the distinct entities."""
+    import duckdb
+    import regex
+    from helpers import SF as smallest
+
+    from millrace.llm import queries
+
+    SF = smallest.replace("sf0.001", "sf0.01")  # noqa: N806
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    pattern = regex.compile(pii.PATTERN)
+    kind_of = lambda m: next(k for k in pii.KINDS if (k == "email") == ("@" in m) and (k == "email" or regex.fullmatch(pii.PATTERNS[k], m)))
+    canon_of = lambda m, k: m.lower() if k == "email" else m if k == "ip" else re.sub("[^0-9]", "", m)
+    forms = {}
+    for _, t in rows:
+        for m in pattern.findall(t or ""):
+            k = kind_of(m)
+            assert k in ("email", "phone", "ssn", "card", "ip")
+            forms[k, canon_of(m, k)] = min(m, forms.get((k, canon_of(m, k)), m))
+    tried = dict.fromkeys(forms, 0)
+    while True:
+        images = {f: canon_of(plain_surrogate(forms[f], f[0], a), f[0]) for f, a in tried.items()}
+        first = {}
+        for f in sorted(forms, key=lambda f: (tried[f], f)):
+            first.setdefault((f[0], images[f]), f)
+        again = [f for f in forms if first[f[0], images[f]] != f or (f[0], images[f]) in forms]
+        if not again:
+            break
+        for f in again:
+            tried[f] += 1
+    got = queries.op4_pii_surrogates(spark, SF)
+    assert native(got)
+    got = {r.doc_id: r for r in got.collect()}
+    assert len(got) == len(rows) and len(forms) > 20
+    for i, t in rows:
+        found = pattern.findall(t or "")
+        want = pattern.sub(lambda m: plain_surrogate(m[0], k := kind_of(m[0]), tried[k, canon_of(m[0], k)]), t) if t else t
+        assert got[i].text == want and sum(got[i][k] for k in pii.KINDS) == len(found)
+
+
 def test_collisions_are_tried_again(spark, monkeypatch):
     """With surrogates that can hardly differ, further tries keep all apart, and in all documents alike."""
     real = pii.surrogate
