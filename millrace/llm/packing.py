@@ -1,16 +1,21 @@
 """Lexical retrieval packing: sequences of similar documents, found by BM25.
 
-Documents are tokenised once, in Arrow batches, into a table in the shared folder. A shard is a block of
-consecutive rows of that table, bounded in documents and tokens; it has an inverted index of its own over
-token ids, as a distributed search index has. Inverse document frequencies and the mean length come from
-all documents (the count table is bounded by the vocabulary). In a shard the first unused document is the
-seed; the index returns its best unused neighbours, which fill the window one after the other. The one that
-no longer fits is cut, and its rest is the next window's seed, so that only the last sequence of a shard
-has padding. No document is shuffled, so no hot source or group of copies can gather in a task.
+Documents are tokenised once, in Arrow batches, into a table in the shared folder, and dealt out to shards by what they say: a
+document's key are the winners of three races among its token ids, each run with the same lots for all documents and with idf as
+speed, so that two documents share a winner as often as they share their heavy ids (weighted MinHash). Sorted by key, over
+all files, documents with heavy ids in common stand together, and copies next to each other; doc_id breaks ties, so a group of copies
+spreads over as many tasks as it fills. A shard is a block of consecutive documents in that order, bounded in documents and
+tokens, with an inverted index of its own over token ids, as a distributed search index has; a seed is looked up in its
+own shard. Inverse document frequencies and the mean length come from all documents (the count table is bounded by the vocabulary).
+
+In a shard the first unused document is the seed; the index returns its best unused neighbours, which fill the window one after the
+other. The one that no longer fits is cut, and its rest is the next window's seed, so that only the last sequence of a shard
+has padding. A lookup is exact, with all ids of the seed: rare ids are scored first, and documents that could not reach the
+k-th best score with all the others are left before these are added up (MaxScore). Ties go by place in the shard.
 
 Defined results: a null or empty text is the closing id alone; every id lies in exactly one piece; equal
 rows are packed each for itself; very long documents span as many sequences as they need; an empty table
-gives an empty result; of extra columns none is carried. Reruns over the same files agree.
+gives an empty result; of extra columns none is carried. All of a text counts for its key and its scores.
 """
 
 from __future__ import annotations
@@ -32,8 +37,11 @@ WINDOW = 2048
 CLOSING = 1
 #: Bounds of a shard: documents and token ids (two bytes each).
 SHARD_DOCS, SHARD_IDS = 4096, 8 << 20
-#: Neighbours asked for at a time. A seed is looked up with all of its distinct ids.
+#: Neighbours asked for at first; each further time for the same seed four times as many.
 NEIGHBOURS = 8
+#: Postings that a lookup adds up before it looks who is left, and how many documents are then scored one by one.
+FIRST, FEW = 16_000, 256
+RACES = 3
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
 
@@ -100,53 +108,100 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df[:VOCABULARY], n, length / max(n, 1)
 
 
+def lots(idf: np.ndarray) -> np.ndarray:
+    """For each race the time that each id takes."""
+    drawn = np.random.default_rng(20240302).random((RACES, VOCABULARY))
+    return -np.log(drawn) / np.maximum(idf, 1e-6)
+
+
+def by_key(tokens: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``(doc_id, ids)`` sorted by key over all documents, in as many parts as shuffles have."""
+    times = lots(idf).astype(np.float32)
+    names = [f"k{i}" for i in range(RACES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            won = np.zeros((RACES, b.num_rows), np.int32)
+            for i, ids in enumerate(b.column(1)):
+                a = np.frombuffer(ids.as_buffer(), "<u2")
+                won[:, i] = a[times[:, a].argmin(1)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, won), *b.columns], [*names, "doc_id", "ids"])
+
+    keyed = tokens.mapInArrow(run, ", ".join(f"{n} int" for n in names) + ", doc_id long, ids binary")
+    return keyed.repartitionByRange(*names, "doc_id").sortWithinPartitions(*names, "doc_id").select("doc_id", "ids")
+
+
 class Shard:
     """An inverted index with BM25 impacts over the documents of a block."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = len(ids)
-        terms, docs, impacts, self.queries = [], [], [], []
-        for d, a in enumerate(ids):
+        terms, impacts = [], []
+        for a in ids:
             term, tf = np.unique(a, return_counts=True)
-            weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(a) / max(mean, 1e-9)))
             terms.append(term)
-            docs.append(np.full(len(term), d, np.int32))
-            impacts.append(weight.astype(np.float32))
-            self.queries.append(term)
-        term = np.concatenate(terms)
-        order = np.argsort(term, kind="stable")
-        self.docs, self.impacts = np.concatenate(docs)[order], np.concatenate(impacts)[order]
-        self.at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
-        self.used = np.zeros(self.n, bool)
-        self.scored, self.score = -1, np.zeros(self.n)
+            impacts.append(idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(a) / max(mean, 1e-9))))
+        sizes = [len(t) for t in terms]
+        self.start = np.append(0, np.cumsum(sizes))
+        self.term, self.impact = np.concatenate(terms), np.concatenate(impacts)
+        order = np.argsort(self.term, kind="stable")
+        self.docs, self.posted = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order], self.impact[order]
+        self.at = np.searchsorted(self.term[order], np.arange(VOCABULARY + 1))
+        self.best = np.zeros(VOCABULARY)
+        there = np.flatnonzero(np.diff(self.at))
+        self.best[there] = np.maximum.reduceat(self.posted, self.at[there])
+        self.used, self.asked = np.zeros(self.n, bool), np.zeros(VOCABULARY, bool)
+
+    def terms_of(self, d: int) -> np.ndarray:
+        return self.term[self.start[d] : self.start[d + 1]]
+
+    def _added(self, terms: np.ndarray) -> np.ndarray:
+        runs = [slice(a, b) for a, b in zip(self.at[terms].tolist(), self.at[terms + 1].tolist(), strict=True)]
+        if not runs:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.docs[r] for r in runs]), np.concatenate([self.posted[r] for r in runs]), self.n)
+
+    def _exact(self, docs: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Scores of some documents, added up in the order of their ids, so that equal documents have equal ones."""
+        self.asked[terms] = True
+        sizes = self.start[docs + 1] - self.start[docs]
+        at = np.repeat(self.start[docs] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        out = np.add.reduceat(np.where(self.asked[self.term[at]], self.impact[at], 0.0), np.cumsum(sizes) - sizes)
+        self.asked[terms] = False
+        return out
 
     def neighbours(self, seed: int, k: int = NEIGHBOURS) -> np.ndarray:
         """The ``k`` unused documents that score best for all ids of the seed, best first, then by position."""
-        if seed != self.scored:
-            # The scores of a seed stay the same for as long as it is asked for; only more documents are used up.
-            term = self.queries[seed]
-            runs = [slice(a, b) for a, b in zip(self.at[term].tolist(), self.at[term + 1].tolist(), strict=True)]
-            docs = np.concatenate([self.docs[r] for r in runs])
-            self.scored, self.score = seed, np.bincount(docs, np.concatenate([self.impacts[r] for r in runs]), self.n)
-        score = self.score
-        score[self.used] = 0
-        if self.n > 4 * k:
-            top = np.argpartition(-score, k)[:k]
-            top = top[np.lexsort((top, -score[top]))]
-        else:
-            top = np.argsort(-score, kind="stable")[:k]
-        return top[score[top] > 0]
+        free = np.flatnonzero(~self.used)
+        if not len(free):
+            return free
+        terms = self.terms_of(seed).astype(np.int64)
+        if len(free) > max(FEW, 2 * k):
+            count = self.at[terms + 1] - self.at[terms]
+            rare = terms[np.argsort(count, kind="stable")]
+            cut = max(1, int(np.searchsorted(np.cumsum(np.sort(count)), FIRST, side="right")))
+            score, rest = self._added(rare[:cut])[free], self.best[rare[cut:]].sum()
+            for more in (rare[cut:], None):
+                # Sums may differ in their last digits with the order of the terms.
+                left = free[score + rest >= np.partition(score, len(score) - k)[len(score) - k] * (1 - 1e-9)]
+                if more is None or len(left) <= max(FEW, 2 * k):
+                    break
+                score, rest = score + self._added(more)[free], 0.0
+            free = left
+        score = self._exact(free, terms)
+        top = np.lexsort((free, -score))[:k]
+        return free[top[score[top] > 0]]
 
 
 def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """``(document, start, length, sequence, offset)`` of each piece, with sequences numbered from 0."""
     shard, sequence, filled, unused = Shard(ids, idf, mean), 0, 0, 0
-    seed, near = -1, iter(())
+    seed, near, ask = -1, iter(()), NEIGHBOURS
     while True:
         # The next document: the seed's best unused neighbour; without one, the first unused document.
         d = next((int(x) for x in near if not shard.used[x]), -1)
         if d < 0 and seed >= 0:
-            near = iter(shard.neighbours(seed))
+            near, ask = iter(shard.neighbours(seed, ask)), 4 * ask
             d = next((int(x) for x in near), -1)
         if d < 0:
             while unused < shard.n and shard.used[unused]:
@@ -155,7 +210,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int
                 return
             d = unused
         if filled == 0 or seed < 0:
-            seed, near = d, iter(())
+            seed, near, ask = d, iter(()), NEIGHBOURS
         shard.used[d] = True
         start, n = 0, len(ids[d])
         while start < n:
@@ -165,7 +220,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             if filled == window:
                 sequence, filled = sequence + 1, 0
                 # What is left of this document begins the next window, and so it is that window's seed.
-                seed, near = (d, iter(())) if start < n else (-1, iter(()))
+                seed, near, ask = d if start < n else -1, iter(()), NEIGHBOURS
 
 
 def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -199,4 +254,4 @@ def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if block:
             yield flush()
 
-    return tokens.mapInArrow(run, PIECES)
+    return by_key(tokens, idf).mapInArrow(run, PIECES)

@@ -22,7 +22,12 @@ def test_ids_are_those_of_the_tokenizers_file():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = np.random.default_rng(3)
     odd = ["".join(chr(c) for c in rng.choice([9, 10, 13, 28, 32, 39, 65, 97, 48, 133, 160, 233, 0x3042, 0x200B, 0x1F600, 0x0301], 40)) for _ in range(300)]
-    for s in [x for x in TEXTS if x] + odd:
+    import duckdb
+    from helpers import SF
+
+    whole = [r[0] for name in ("documents", "conversations", "benchmark") for r in duckdb.sql(f"SELECT text FROM '{SF}/{name}.parquet' WHERE text IS NOT NULL").fetchall()]
+    assert len(whole) > 200
+    for s in [x for x in TEXTS if x] + odd + whole:
         assert list(packing.encode(s)) == [*t.encode(s, add_special_tokens=False).ids, 1]
 
 
@@ -63,12 +68,45 @@ def test_neighbours_are_the_best_by_bm25():
     for seed in range(10):
         scores = []
         for d, a in enumerate(ids):
-            tf = {t: (a == t).sum() for t in shard.queries[seed]}
+            tf = {t: (a == t).sum() for t in set(ids[seed].tolist())}
             scores.append(0 if shard.used[d] else sum(idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(a) / mean)) for t, f in tf.items() if f))
         got = shard.neighbours(seed, 3)
         np.testing.assert_allclose(np.array(scores)[got], np.sort(scores)[::-1][:3], rtol=1e-4)
 
 
+@pytest.mark.parametrize("first", [50, 2000, 16_000])
+def test_pruned_lookups_are_exact_and_ties_go_by_place(first, monkeypatch):
+    """A large shard with many copies: the same documents in the same order as by scoring all, whatever is scored first."""
+    monkeypatch.setattr(packing, "FIRST", first)
+    monkeypatch.setattr(packing, "FEW", 30)
+    rng = np.random.default_rng(first)
+    own = [(rng.zipf(1.3, n) % 3000).astype("<u2") for n in rng.integers(1, 200, 500)]
+    ids = [own[i] for i in rng.integers(0, 500, 900)]
+    df = np.zeros(packing.VOCABULARY, np.int64)
+    for a in ids:
+        df[np.unique(a)] += 1
+    idf, mean = np.log1p((900 - df + 0.5) / (df + 0.5)), np.mean([len(a) for a in ids])
+    shard = packing.Shard(ids, idf, mean)
+    shard.used[rng.random(900) < 0.3] = True
+    tf = [dict(zip(*np.unique(a, return_counts=True))) for a in ids]
+    for seed in rng.integers(0, 900, 12):
+        score = [sum(idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(a) / mean)) for t, f in own.items() if t in tf[seed]) for a, own in zip(ids, tf)]
+        want = sorted((d for d in range(900) if not shard.used[d] and score[d] > 0), key=lambda d: (-round(score[d], 9), d))
+        for k in (1, 8, 32):
+            assert list(shard.neighbours(seed, k)) == want[:k]
+
+
+def test_like_documents_of_all_files_come_together(spark):
+    """Near copies that lie in different partitions share a sequence; none is lost, and one key's copies are spread by their ids."""
+    base = [words(60, i, 9000) for i in range(60)]
+    texts = [" ".join([*base[i], f"end{j}"]) for j in range(6) for i in range(60)]
+    rows = packing.pack(docs(spark, texts).repartition(7), window=256).collect()
+    together = {}
+    for r in rows:
+        together.setdefault(r.sequence_id, set()).add(r.doc_id % 60)
+    assert sorted({r.doc_id for r in rows}) == list(range(360)) and np.mean([len(x) for x in together.values()]) < 2.6
+
+
 def test_a_long_seed_is_looked_up_with_all_its_ids():
     """Thirty ids that only the seed has outweigh those it shares: the shared ones have to count all the same."""
     own, shared = np.arange(1000, 1030), np.arange(100, 160)
