@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +63,15 @@ def join(left: DataFrame, right: DataFrame, kind: str, keys: list[tuple[Column,
 
 
 def ordinal(df: DataFrame) -> DataFrame:
-    """``df`` with its input order as a last column: file and row where the source tells, else the order of its partitions.
+    """``df`` with its input order as a last column: file, block and row where the source tells, else the order of its partitions.
 
-    It has to be put on before any shuffle.
+    Files go by their names, as prefixes list them; Spark itself deals files out by size. It has to be put on before any shuffle.
     """
-    name = hidden(df.columns, "order")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    name, row = hidden(df.columns, "order"), F.monotonically_increasing_id()
+    try:
+        return df.withColumn(name, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), row.alias("row")))
+    except AnalysisException:  # what is read from no file has no such columns
+        return df.withColumn(name, row)
 
 
 def distinct_on(df: DataFrame, keys: list[Column], order: str) -> DataFrame:

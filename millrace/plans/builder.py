@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,11 +134,9 @@ class Builder:
 
     def select(self, s: A.Select, scope: dict[str, A.Query], order: list[A.Expr]) -> tuple[DataFrame, dict[str, A.Type], dict[int, str]]:
         """The frame, its columns, and for ORDER BY items that are no output column the hidden ones that have them."""
-        df, types = self.source(s.source, scope)
-        for n in s.distinct_on:
-            del n
+        df, types = self.source(self._by_footers(s), scope)
+        if s.distinct_on:
             df = R.ordinal(df)  # before anything shuffles
-            break
         ordinal = df.columns[-1] if s.distinct_on else None
         left_alias = {s.source.alias or (s.source.name if s.source.kind == "ref" else None)}
         for j in s.joins:
@@ -165,6 +164,14 @@ class Builder:
                 df = df.where(boolean(self._replace(s.having, replaced), types, "HAVING"))
         return self._project(df, types, s, items, order, replaced, ordinal)
 
+    @staticmethod
+    def _by_footers(s: A.Select) -> A.Source:
+        """The source, marked where all that is asked of it may stand in the footers of Parquet files."""
+        plain = lambda e: isinstance(e, A.Call) and e.name in ("count", "min", "max") and not getattr(e, "distinct", False) and all(isinstance(a, (A.Col, A.Star)) for a in e.args)
+        if s.source.kind != "file" or s.joins or s.where is not None or s.group or s.distinct_on or not s.items or not all(plain(i.expr) for i in s.items):
+            return s.source
+        return dataclasses.replace(s.source, options={**s.source.options, "footers": True})
+
     @staticmethod
     def _has_aggregate(e: object) -> bool:
         return _finds_aggregate(e)

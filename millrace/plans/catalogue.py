@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import Engine, Run
 from .extras import EXTRAS
+from .features import QUERIES as FEATURES
 from .oracles import QUERIES
 
 
@@ -22,8 +23,8 @@ def _runner(script: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _runner(script) for name, (script, _) in QUERIES.items()} | {name: f for name, (f, _) in EXTRAS.items()}
+    return {name: _runner(script) for name, (script, _) in QUERIES.items()} | {name: f for name, (f, _) in (EXTRAS | FEATURES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in (QUERIES | EXTRAS).items() if sql}
+    return {name: sql for name, (_, sql) in (QUERIES | EXTRAS | FEATURES).items() if sql}

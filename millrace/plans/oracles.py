@@ -84,10 +84,8 @@ _add("win_rows_moving", f"SELECT event_id, COUNT(value) OVER (PARTITION BY user_
 _add("win_minmaxavg", f"SELECT event_id, MIN(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS lo, MAX(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS hi, AVG(user_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS a FROM {E}")
 _add("win_delta", f"SELECT event_id, user_id - before AS d FROM (SELECT event_id, user_id, LAG(user_id) OVER (ORDER BY event_id) AS before FROM {E}) m WHERE before IS NOT NULL", "SELECT event_id, user_id - before AS d FROM (SELECT event_id, user_id, LAG(user_id) OVER (ORDER BY event_id) AS before FROM events) m WHERE before IS NOT NULL")
 # -- sorting, limits, sets, reshaping
-_add("sort_nulls_last", f"SELECT event_id, NULLIF(event_type, 'click') AS k FROM {E} ORDER BY k DESC, event_id LIMIT 9000", "SELECT event_id, NULLIF(event_type, 'click') AS k FROM events ORDER BY k DESC NULLS LAST, event_id LIMIT 9000")
-_add("sort_hidden", f"SELECT event_id FROM {E} ORDER BY value + user_id DESC, event_id LIMIT 25", "SELECT event_id FROM events ORDER BY value + user_id DESC, event_id LIMIT 25")
-_add("sort_nulls_last_whole", f"SELECT event_id, k, ROW_NUMBER() OVER (ORDER BY k DESC, event_id) AS r FROM (SELECT event_id, NULLIF(event_type, 'click') AS k FROM {E}) t ORDER BY k DESC, event_id", "SELECT event_id, k, ROW_NUMBER() OVER (ORDER BY k DESC NULLS LAST, event_id) AS r FROM (SELECT event_id, NULLIF(event_type, 'click') AS k FROM events) t ORDER BY r")
-_add("sort_hidden_whole", f"SELECT event_id, ROW_NUMBER() OVER (ORDER BY value + user_id DESC, event_id) AS r FROM {E} ORDER BY value + user_id DESC, event_id", "SELECT event_id, ROW_NUMBER() OVER (ORDER BY value + user_id DESC, event_id) AS r FROM events ORDER BY r")
+_add("sort_nulls_last", f"SELECT event_id, k, ROW_NUMBER() OVER (ORDER BY k DESC, event_id) AS r FROM (SELECT event_id, NULLIF(event_type, 'click') AS k FROM {E}) t ORDER BY k DESC, event_id", "SELECT event_id, k, ROW_NUMBER() OVER (ORDER BY k DESC NULLS LAST, event_id) AS r FROM (SELECT event_id, NULLIF(event_type, 'click') AS k FROM events) t ORDER BY r")
+_add("sort_hidden", f"SELECT event_id, ROW_NUMBER() OVER (ORDER BY value + user_id DESC, event_id) AS r FROM {E} ORDER BY value + user_id DESC, event_id", "SELECT event_id, ROW_NUMBER() OVER (ORDER BY value + user_id DESC, event_id) AS r FROM events ORDER BY r")
 _add("topn_offset", f"SELECT o_orderkey, o_totalprice FROM {O} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
 _add("limit_offset", f"SELECT COUNT(*) AS n FROM (SELECT event_id FROM {E} LIMIT 100 OFFSET 50) t", "SELECT COUNT(*) AS n FROM (SELECT event_id FROM events LIMIT 100 OFFSET 50) t")
 _add("distinct_all", f"SELECT DISTINCT event_type, user_id % 4 AS k FROM {E}")

@@ -96,6 +96,7 @@ class Engine:
         self.functions: dict[str, A.Function] = {}
         self.connections: dict[str, jdbc.Connection] = {}
         self.endpoint: A.Endpoint | None = None
+        self.held: list[DataFrame] = []
         self.flush: tuple[float | None, int | None] = (None, None)
 
     # -- entry points
@@ -388,6 +389,7 @@ class Engine:
         if s.options.get("buffer") and not self.run_.check:
             # The whole source is read before a sink opens, as both may be one place.
             df = df.persist(StorageLevel.DISK_ONLY)
+            self.held.append(df)
             df.count()
         return df, types
 
@@ -484,6 +486,7 @@ class Engine:
             file_sinks.checked(sink.name, sink.mode, sink.options)
             if sink.split or sink.jobs:
                 sink.options.setdefault("jobs", sink.jobs)
+        held = len(self.held)
         df, types = self.query(s.query, loop)
         for k in [*sink.keys, *sink.partial, *sink.split]:
             if k not in types:
@@ -504,6 +507,9 @@ class Engine:
             else:
                 options = sink.options | ({"using": sink.using} if sink.using else {})
                 sql_sinks.write(df, types, conn, sink.schema, sink.name, sink.mode, sink.keys, sink.partial, sink.split, sink.jobs, options, self.run_.label)
+            # What was buffered is written; a SELECT's frame, which is not yet run, keeps its own.
+            while loop is None and len(self.held) > held:
+                self.held.pop().unpersist()
         return Result(where, seconds=time.time() - began)
 
     def inferred_key(self, q: A.Query, loop: dict | None) -> list[str]:

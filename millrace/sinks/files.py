@@ -34,7 +34,7 @@ def _fs(df: DataFrame, path: str):
 def write(df: DataFrame, types: dict[str, A.Type], path: str, mode: str | None, options: dict) -> None:
     """Parts are written by all tasks beside the target and then joined byte by byte, so that no task holds the whole.
 
-    A Parquet file of one part is moved; of several, Spark writes one through a single task, as a footer cannot be joined.
+    A Parquet file comes from one last task, as footers cannot be joined.
     ``WITH (parts)`` keeps a directory of parts instead.
     """
     kind = checked(path, mode, options)
@@ -46,7 +46,7 @@ def write(df: DataFrame, types: dict[str, A.Type], path: str, mode: str | None,
     stage = jvm.org.apache.hadoop.fs.Path(target.getParent() or jvm.org.apache.hadoop.fs.Path("."), f".{target.getName()}.{uuid.uuid4().hex}")
     try:
         if kind == "parquet":
-            df.coalesce(1).write.parquet(str(stage))
+            single(df).write.parquet(str(stage))
         else:
             _csv(df, types, options, False).write.text(str(stage))
         parts = sorted((str(f.getPath()) for f in fs.listStatus(stage) if f.getPath().getName().startswith("part-")))
@@ -55,6 +55,9 @@ def write(df: DataFrame, types: dict[str, A.Type], path: str, mode: str | None,
                 fs.delete(target, True)
             fs.rename(jvm.org.apache.hadoop.fs.Path(parts[0]), target)
             return
+        top = bytearray((header(list(types), dialect(options)[0]) + "\n").encode())
+        if mode != "append" and _joined(fs, jvm, target, stage, top, parts):
+            return
         append = mode == "append" and fs.exists(target) and fs.getFileStatus(target).getLen() > 0
         if fs.exists(target) and fs.getFileStatus(target).isDirectory():
             fs.delete(target, True)
@@ -67,7 +70,7 @@ def write(df: DataFrame, types: dict[str, A.Type], path: str, mode: str | None,
             fs.delete(old, False)
         try:
             if not append:
-                out.write(bytearray((header(list(types), dialect(options)[0]) + "\n").encode()))
+                out.write(top)
             for p in parts:
                 _copy(fs, jvm, jvm.org.apache.hadoop.fs.Path(p), out)
         finally:
@@ -76,6 +79,34 @@ def write(df: DataFrame, types: dict[str, A.Type], path: str, mode: str | None,
         fs.delete(stage, True)
 
 
+def single(df: DataFrame) -> DataFrame:
+    """``df`` in one task at the end, with all work before that in as many as it has.
+
+    Sorted rows are dealt out by their sort already and stay in order; others, which have none, take a shuffle.
+    """
+    top = df._jdf.queryExecution().optimizedPlan().nodeName()
+    return df.coalesce(1) if top in ("Sort", "GlobalLimit", "Range", "LocalRelation") else df.repartition(1)
+
+
+def _joined(fs, jvm, target, stage, top: bytearray, parts: list[str]) -> bool:
+    """Has the store itself join the parts behind the header, where it can (HDFS), so that no byte comes to the driver."""
+    if fs.getScheme() != "hdfs":
+        return False
+    first = jvm.org.apache.hadoop.fs.Path(stage, "header")
+    out = fs.create(first, True)
+    out.write(top)
+    out.close()
+    if parts:
+        paths = [jvm.org.apache.hadoop.fs.Path(p) for p in parts if fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(p)).getLen()]
+        array = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Path"), len(paths))
+        for i, p in enumerate(paths):
+            array[i] = p
+        if paths:
+            fs.concat(first, array)
+    fs.delete(target, True)
+    return bool(fs.rename(first, target))
+
+
 def _appends(fs) -> bool:
     return fs.getScheme() == "hdfs"
 

@@ -62,6 +62,17 @@ def format_of(path: str, options: dict) -> str:
     return ext[1:]
 
 
+def build_limit(options: dict) -> int | None:
+    """The bytes of ``WITH (max_build = '16GB')``. Nothing is held back by it, as Spark's joins spill; it has to be a size all the same."""
+    given = options.get("max_build")
+    if given is None:
+        return None
+    m = re.fullmatch(r"\s*([0-9]+)\s*(?:([kmgt])i?)?b?\s*", str(given), re.I)
+    if not m:
+        raise PlanError(f"max_build {given!r} is no size")
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[(m[2] or "").lower()]
+
+
 def dialect(options: dict, writing: bool = False) -> tuple[str, str]:
     """Delimiter and encoding."""
     d = options.get("delimiter", ",")
@@ -184,8 +195,22 @@ def read_csv(spark: SparkSession, paths: list[str], options: dict) -> DataFrame:
     return reader.csv([located(p) for p in paths])
 
 
+def read_parquet(spark: SparkSession, paths: list[str], options: dict) -> DataFrame:
+    """Parquet files; by the reader that answers from their footers where ``options`` say that this may be enough."""
+    if not options.get("footers"):
+        return spark.read.parquet(*map(located, paths))
+    # Which reader it is gets settled when the frame is made. The session is the engine's own.
+    v1 = spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in v1.split(",") if x != "parquet"))
+    try:
+        return spark.read.parquet(*map(located, paths))
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", v1)
+
+
 def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
     stores(spark, path)
+    build_limit(options)
     archive, _, member = (x.strip() for x in path.partition("::"))
     if member or archive.lower().endswith(".zip"):
         if options.get("format") == "parquet" or member.lower().endswith(".parquet"):
@@ -198,7 +223,7 @@ def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
         kinds = {format_of(p, options) for p in paths}
         if len(kinds) > 1:
             raise PlanError(f"{path} holds files of several formats")
-        return read_csv(spark, paths, options) if kinds == {"csv"} else spark.read.parquet(*map(located, paths))
+        return read_csv(spark, paths, options) if kinds == {"csv"} else read_parquet(spark, paths, options)
     kind = format_of(path, options)
     if kind == "parquet" and path.endswith(CODECS):
         raise PlanError("Parquet cannot be read through a zip or codec")
@@ -207,6 +232,6 @@ def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
     if kind == "csv":
         return read_csv(spark, [path], options)
     try:
-        return spark.read.parquet(located(path))
+        return read_parquet(spark, [path], options)
     except Exception as e:  # noqa: BLE001  a missing path is found while planning
         raise PlanError(f"{path}: {str(e).splitlines()[0]}") from e

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 from dataclasses import dataclass
 
@@ -128,6 +129,19 @@ def uuid_slices(column: str, n: int, dialect: str) -> list[str]:
     return [*out, f"{c} >= {cuts[-1]}"]
 
 
+def date_slices(column: str, low: datetime.date, high: datetime.date, n: int, dialect: str) -> list[str]:
+    """The same for date and time keys, by days."""
+    c, days = quote(column, dialect), (high - low).days + 1
+    n = max(1, min(n, days))
+    step = -(-days // n)
+    cuts = [f"'{(low + datetime.timedelta(days=i * step)).isoformat()[:10]}'" for i in range(1, n) if i * step < days]
+    if not cuts:
+        return ["1 = 1"]
+    out = [f"{c} < {cuts[0]} OR {c} IS NULL"]
+    out += [f"{c} >= {a} AND {c} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [*out, f"{c} >= {cuts[-1]}"]
+
+
 def load(spark: SparkSession, conn: Connection, query: str) -> DataFrame:
     if conn.type not in DRIVERS:
         raise PlanError(f"connection {conn.name}: {conn.type!r} is no SQL connector")
@@ -142,6 +156,8 @@ def load_sliced(spark: SparkSession, conn: Connection, query: str, column: str,
         return load(spark, conn, query)
     if isinstance(low, int):
         predicates = slices(column, low, high, n, conn.dialect)
+    elif isinstance(low, datetime.date):  # datetime is one, too
+        predicates = date_slices(column, low, high, n, conn.dialect)
     elif isinstance(low, str) and conn.dialect == "postgres":
         predicates = uuid_slices(column, n, conn.dialect)
     else:

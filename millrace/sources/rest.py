@@ -1,19 +1,22 @@
 """REST APIs: pages of JSON rows, with retries, authentication and the usual three kinds of pagination.
 
 The first page is read while planning, for its columns. Where the API tells the number of rows, the other pages are dealt out
-to tasks; else they depend on each other and one task reads them in turn.
+to tasks; else they are read in turn, or ``prefetch`` at a time, into a file of the shared folder.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import os
 import random
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..errors import PlanError, RunError
 from ..lang import ast as A
+from .files import scratch
 
 RETRYABLE = (429, 500, 502, 503, 504)
 
@@ -123,6 +127,10 @@ def pages(r: Request, first: int = 0, last: int | None = None) -> Iterator[objec
     kind, o = r.paginate
     most = int(o["max"]) if "max" in o else None
     size = int(o["size"]) if "size" in o else None
+    ahead = int(o.get("prefetch", 0)) if kind != "cursor" else 0
+    if ahead > 1:
+        yield from fetched_ahead(r, first, last if last is not None else most, size, ahead)
+        return
     url, n = (r.url if kind == "cursor" else page_url(r, first)), first
     if kind == "cursor" and size is not None:
         url = with_query(url, **{o.get("size_param", "limit"): size})
@@ -145,6 +153,30 @@ def pages(r: Request, first: int = 0, last: int | None = None) -> Iterator[objec
             url = page_url(r, n)
 
 
+def fetched_ahead(r: Request, first: int, last: int | None, size: int | None, ahead: int) -> Iterator[object]:
+    """Numbered pages in turn, with the next ``ahead`` ones on their way."""
+    total_at = r.paginate[1].get("total")
+    with ThreadPoolExecutor(ahead) as pool:
+        asked: deque = deque()
+        n = first
+        while True:
+            while len(asked) < ahead and (last is None or n < last):
+                asked.append(pool.submit(fetch, r, page_url(r, n)))
+                n += 1
+            if not asked:
+                return
+            doc = asked.popleft().result()
+            rows = rows_of(doc, r.items)
+            seen = n - len(asked)
+            total = dotted(doc, total_at) if total_at else None
+            if rows or seen == first + 1:
+                yield doc
+            if not rows or size is not None and len(rows) < size or total is not None and size and seen * size >= int(total):
+                for f in asked:
+                    f.cancel()
+                return
+
+
 def inferred(rows: list[dict]) -> T.StructType:
     """Columns and types by the first row; all nullable."""
     if not rows:
@@ -229,8 +261,14 @@ def read(spark: SparkSession, r: Request) -> DataFrame:
 
         rest = spark.range(1, last, 1, min(last - 1, 64)).mapInArrow(read_pages, schema)
         return head.union(rest)
-    rest = [coerce(x, schema) for doc in stream for x in rows_of(doc, r.items)]
-    return head.union(spark.createDataFrame(rest, schema)) if rest else head
+    # How many pages there are shows at the last one: they go to a file of the shared folder as they come, one in memory at a time.
+    path, n = os.path.join(scratch(spark), "pages.json"), 0
+    with open(path, "w", encoding="utf-8") as f:
+        for doc in stream:
+            for x in rows_of(doc, r.items):
+                f.write(json.dumps(dict(zip(schema.names, coerce(x, schema), strict=True)), ensure_ascii=False) + "\n")
+                n += 1
+    return head.union(spark.read.schema(schema).option("mode", "FAILFAST").json(path)) if n else head
 
 
 def _arrow(t: T.DataType):

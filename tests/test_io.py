@@ -12,6 +12,7 @@ import zstandard
 
 from millrace.errors import PlanError
 from millrace.lang import ast as A
+from millrace.sinks import files as file_sinks
 from millrace.sinks import sql
 from millrace.sources import csvtypes, files, jdbc, rest
 from millrace.streaming import drain, wal
@@ -156,6 +157,28 @@ def test_rest_retry_auth_and_max(engine, api):
     assert engine().sql(f"SELECT * FROM '{api}/file.csv'").first() == (1, 2)
 
 
+def test_pages_without_a_total_stay_off_the_driver(engine, api, monkeypatch):
+    """They come back from a file: the frame holds no more than the first page itself."""
+    df = engine().sql(f"SELECT id FROM HTTP('{api}/x') PAGINATE BY cursor (field = 'next', size = 2) WITH (items = 'data')")
+    assert "FileScan json" in df._jdf.queryExecution().executedPlan().toString() and sorted(r[0] for r in df.collect()) == list(range(7))
+
+
+def test_a_parquet_file_does_not_narrow_the_plan(engine, spark, tmp_path):
+    spark.range(100).repartition(4).write.parquet(str(tmp_path / "d.parquet"))
+    df = engine().sql("SELECT id FROM 'd.parquet' WHERE id > 3")
+    assert "Exchange SinglePartition" in file_sinks.single(df)._jdf.queryExecution().executedPlan().toString() or "REPARTITION_BY_NUM" in file_sinks.single(df)._jdf.queryExecution().executedPlan().toString()
+    ordered = engine().sql("SELECT id FROM 'd.parquet' ORDER BY id DESC")
+    assert [r[0] for r in file_sinks.single(ordered).collect()] == list(range(99, -1, -1))
+
+
+def test_buffered_sources_are_given_back(engine, spark, tmp_path):
+    (tmp_path / "s.csv").write_text("a\n1\n2\n")
+    e = engine()
+    e.run("LOAD INTO 's.csv' REPLACE AS SELECT a + 1 AS a FROM 's.csv' WITH (buffer)")
+    assert not e.held
+    assert e.sql("SELECT a FROM 's.csv' WITH (buffer)").count() == 2 and e.held
+
+
 def test_rest_rows_coerce():
     s = rest.inferred([{"a": 1, "b": "x"}])
     assert rest.coerce({"a": "5", "c": 1}, s) == (5, None)

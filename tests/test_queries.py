@@ -101,3 +101,21 @@ def test_plans_push_filters_and_columns_down(engine):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_whole_file_counts_come_from_the_footers(engine, spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id * 0.5D AS x").write.parquet(str(tmp_path / "t.parquet"))
+    plan = lambda q: engine().sql(q)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MAX(id), MIN(x)]" in plan("SELECT COUNT(*) AS n, MAX(id) AS m, MIN(x) AS x FROM 't.parquet'")
+    assert engine().sql("SELECT COUNT(*) AS n, MAX(id) AS m, MIN(x) AS x FROM 't.parquet'").first() == (1000, 999, 0.0)
+    for q in ("SELECT COUNT(*) AS n FROM 't.parquet' WHERE id > 5", "SELECT SUM(id) AS n FROM 't.parquet'", "SELECT COUNT(DISTINCT id) AS n FROM 't.parquet'", "SELECT id % 2 AS k, COUNT(*) AS n FROM 't.parquet' GROUP BY 1"):
+        assert "PushedAggregation: [COUNT" not in plan(q)
+
+
+def test_distinct_on_goes_by_the_names_of_files(engine, tmp_path):
+    """The largest file is read first by Spark, but the first row is that of the first name."""
+    (tmp_path / "many").mkdir()
+    for name, n in (("a", 3), ("b", 50_000), ("c", 10)):
+        (tmp_path / "many" / f"{name}.csv").write_text("k,v\n" + "".join(f"{i % 5},{name}{i}\n" for i in range(n)))
+    got = engine().sql("SELECT DISTINCT ON (k) k, v FROM 'many/'").collect()
+    assert sorted(map(tuple, got)) == [(0, "a0"), (1, "a1"), (2, "a2"), (3, "b3"), (4, "b4")]
