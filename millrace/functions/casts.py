@@ -22,14 +22,19 @@ def spark_type(t: A.Type) -> str:
 def float_text(c: Column) -> Column:
     """A double as its shortest digits, without exponent and without a bare ``.0``."""
     s = c.cast("string")
+    # Only the common case is generated code: with exponents and infinities in it a wide row's method is too large to be compiled.
+    odd = F.element_at(F.transform(F.array(s), _odd_float), 1)
+    return F.when(s.contains("E") | s.contains("n") | s.contains("N"), odd).when(s.endswith(".0"), F.substr(s, F.lit(1), F.length(s) - 2)).otherwise(s)
+
+
+def _odd_float(s: Column) -> Column:
+    """The text of a double that Java writes with an exponent or as a word."""
     sign = F.when(s.startswith("-"), "-").otherwise("")
     whole, part = F.regexp_extract(s, r"([0-9]+)\.", 1), F.regexp_replace(F.regexp_extract(s, r"\.([0-9]+)", 1), "^0$", "")
-    e = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int")
+    e = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
     large = F.when(F.length(part) <= e, F.concat(whole, part, F.repeat(F.lit("0"), e - F.length(part)))).otherwise(F.concat(whole, F.substr(part, F.lit(1), e), F.lit("."), F.substr(part, e + 1)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), whole, part)
-    # The common cases come first, and without a pattern.
-    return (F.when(s.endswith(".0"), F.substr(s, F.lit(1), F.length(s) - 2)).when(s.contains("E"), F.concat(sign, F.when(e >= 0, large).otherwise(small)))
-            .when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(s))
+    return F.when(s == "NaN", "nan").when(s.contains("n"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, F.when(e >= 0, large).otherwise(small)))
 
 
 def text(c: Column, t: A.Type) -> Column:
