@@ -8,7 +8,8 @@ bracket. Rates become whole copies by thresholds: within a source, size classes
 are rounded from the largest to the smallest, each carrying its error on to the next.
 
 What is held together is small: per source a row of parameters and a histogram of at most
-``CLASSES * BINS`` counts, however many documents the source has. No text is shuffled.
+``CLASSES * BINS`` counts, however many documents the source has. Targets are shared out in one task, a row for
+each source. No text is shuffled.
 
 Defined results: null text has size 0; null sources form one source, last in order; equal rows get
 equal decisions; documents of size 0 are kept once; an empty table gives an empty result; extra
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, n_words, parts_for, table, uniform
+from .common import drop_table, fresh, n_words, parts_for, table, uniform
 
 MAX_COPIES = 2.0
 CLASSES = 48
@@ -69,7 +70,8 @@ def solve(sizes: DataFrame, targets: DataFrame, most: float = MAX_COPIES, parts:
     """``(source, source_size, target, mean, full, lam)``: Newton on the dual, all sources at once.
 
     ``sizes`` is ``(source, size, n)``, a row for each size that a source has. A step that leaves the
-    bracket of a source is replaced by halving it.
+    bracket of a source is replaced by halving it. A source is settled when its words are as near to the target as
+    ``TOLERANCE`` and the rounding of the sum's terms let them be; should ``NEWTON_STEPS`` not do, that is an error.
     """
     docs = sizes.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     null = F.lit(None).cast("double")
@@ -85,20 +87,24 @@ def solve(sizes: DataFrame, targets: DataFrame, most: float = MAX_COPIES, parts:
         w = rate(F.col("p.lam"), F.col("s.size"), F.col("p.mean"), F.col("p.full"), most)
         sums = F.col("s.n") * F.col("s.size")
         step = sizes.alias("s").join(p, F.col("s.source").eqNullSafe(F.col("p.source"))).where(~F.col("p.full")).groupBy(F.col("p.source").alias("source")).agg(
-            _exact(sums * w).alias("got"), _exact(F.when(w < most, sums * w * x).otherwise(0.0)).alias("slope")
+            _exact(sums * w).alias("got"), _exact(F.when(w < most, sums * w * x).otherwise(0.0)).alias("slope"), F.count("*").alias("terms")
         ).alias("t")
         j = p.join(step, F.col("p.source").eqNullSafe(F.col("t.source")), "left")
         gap = F.col("got") - F.col("target")
-        err = F.coalesce(F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(0.0))
+        err = F.coalesce(F.greatest(F.abs(gap) - F.col("terms") / float(1 << 20), F.lit(0.0)) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(0.0))
         low = F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") - gap / F.when(F.col("slope") > 0, F.col("slope"))
         halved = F.when(low.isNull(), high - 1 - F.abs(high)).when(high.isNull(), low + 1 + F.abs(low)).otherwise((low + high) / 2)
         inside = newton.isNotNull() & ~F.isnan(newton) & (low.isNull() | (newton > low)) & (high.isNull() | (newton < high)) & (F.abs(newton) < 1e6)
         lam = F.when(err <= TOLERANCE, F.col("lam")).when(inside, newton).otherwise(halved)
-        params = table(j.select(F.col("p.source").alias("source"), "source_size", "target", "mean", "full", lam.alias("lam"), low.alias("low"), high.alias("high"), err.alias("err")), "mix-params", parts)
-        if not params.where(F.col("err") > TOLERANCE).limit(1).count():
+        last, params = params, table(j.select(F.col("p.source").alias("source"), "source_size", "target", "mean", "full", lam.alias("lam"), low.alias("low"), high.alias("high"), err.alias("err")), "mix-params", parts)
+        drop_table(last)
+        left = params.where(F.col("err") > TOLERANCE).agg(F.count("*").alias("n"), F.max("err").alias("err")).first()
+        if not left.n:
             break
+    else:
+        raise ValueError(f"{left.n} sources have not met their targets after {NEWTON_STEPS} steps; the farthest is off by a share of {left.err:.2g}")
     return params.select("source", "source_size", "target", "mean", "full", "lam")
 
 

@@ -86,6 +86,12 @@ def test_mix_is_native_and_repeats(spark, mixed):
     assert all(out.count(i) == c for i, c in copies.items())
 
 
+def test_unmet_targets_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 1)
+    with pytest.raises(ValueError, match="have not met their targets after 1 steps"):
+        mixing.mix(docs(spark, [" ".join(words(i * 37 % 90 + 1, i)) for i in range(40)], ["a", "b"] * 20))
+
+
 def test_mix_edges(spark):
     assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
     d = docs(spark, ["a b c", "a b c", None, "d"]).withColumns({"rate": F.lit("x"), "Size": F.lit(9), "lam": F.lit(1), "target": F.lit(None).cast("int")})
