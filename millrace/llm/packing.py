@@ -10,8 +10,9 @@ own shard. Inverse document frequencies and the mean length come from all docume
 
 In a shard the first unused document is the seed; the index returns its best unused neighbours, which fill the window one after the
 other. The one that no longer fits is cut, and its rest is the next window's seed, so that only the last sequence of a shard
-has padding. A lookup is exact, with all ids of the seed: rare ids are scored first, and documents that could not reach the
-k-th best score with all the others are left before these are added up (MaxScore). Ties go by place in the shard.
+has padding. A lookup is exact, with all ids of the seed. The ids that most documents of the shard have, whose postings would be
+nearly all of the work, are scored for all its documents at once by a product of matrices, the others by their postings; who may
+be among the best by that is scored once more, id by id, so that equal documents tie. Ties go by place in the shard.
 
 Defined results: a null or empty text is the closing id alone; every id lies in exactly one piece; equal
 rows are packed each for itself; very long documents span as many sequences as they need; an empty table
@@ -39,8 +40,8 @@ CLOSING = 1
 SHARD_DOCS, SHARD_IDS = 4096, 8 << 20
 #: Neighbours asked for at first; each further time for the same seed four times as many.
 NEIGHBOURS = 8
-#: Postings that a lookup adds up before it looks who is left, and how many documents are then scored one by one.
-FIRST, FEW = 16_000, 256
+#: How many ids of a shard are scored by a product of matrices, and by what share two ways to add up a score may differ.
+COMMON, SLACK = 512, 1e-4
 RACES = 3
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
@@ -147,9 +148,14 @@ class Shard:
         order = np.argsort(self.term, kind="stable")
         self.docs, self.posted = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order], self.impact[order]
         self.at = np.searchsorted(self.term[order], np.arange(VOCABULARY + 1))
-        self.best = np.zeros(VOCABULARY)
-        there = np.flatnonzero(np.diff(self.at))
-        self.best[there] = np.maximum.reduceat(self.posted, self.at[there])
+        most = np.argsort(-np.diff(self.at), kind="stable")[:COMMON]
+        column = np.full(VOCABULARY, -1, np.int32)
+        column[most] = np.arange(len(most))
+        self.common = column >= 0
+        dense, at = np.zeros((self.n, len(most)), np.float32), column[self.term]
+        dense[np.repeat(np.arange(self.n), sizes)[at >= 0], at[at >= 0]] = self.impact[at >= 0]
+        #: Of each seed (first axis) with each document the score by the common ids.
+        self.dense = (dense > 0).astype(np.float32) @ dense.T
         self.used, self.asked = np.zeros(self.n, bool), np.zeros(VOCABULARY, bool)
 
     def terms_of(self, d: int) -> np.ndarray:
@@ -176,18 +182,9 @@ class Shard:
         if not len(free):
             return free
         terms = self.terms_of(seed).astype(np.int64)
-        if len(free) > max(FEW, 2 * k):
-            count = self.at[terms + 1] - self.at[terms]
-            rare = terms[np.argsort(count, kind="stable")]
-            cut = max(1, int(np.searchsorted(np.cumsum(np.sort(count)), FIRST, side="right")))
-            score, rest = self._added(rare[:cut])[free], self.best[rare[cut:]].sum()
-            for more in (rare[cut:], None):
-                # Sums may differ in their last digits with the order of the terms.
-                left = free[score + rest >= np.partition(score, len(score) - k)[len(score) - k] * (1 - 1e-9)]
-                if more is None or len(left) <= max(FEW, 2 * k):
-                    break
-                score, rest = score + self._added(more)[free], 0.0
-            free = left
+        if len(free) > k:
+            score = (self.dense[seed] + self._added(terms[~self.common[terms]]))[free]
+            free = free[score >= np.partition(score, len(score) - k)[len(score) - k] * (1 - SLACK) - SLACK]
         score = self._exact(free, terms)
         top = np.lexsort((free, -score))[:k]
         return free[top[score[top] > 0]]

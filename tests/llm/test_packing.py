@@ -74,12 +74,11 @@ def test_neighbours_are_the_best_by_bm25():
         np.testing.assert_allclose(np.array(scores)[got], np.sort(scores)[::-1][:3], rtol=1e-4)
 
 
-@pytest.mark.parametrize("first", [50, 2000, 16_000])
-def test_pruned_lookups_are_exact_and_ties_go_by_place(first, monkeypatch):
-    """A large shard with many copies: the same documents in the same order as by scoring all, whatever is scored first."""
-    monkeypatch.setattr(packing, "FIRST", first)
-    monkeypatch.setattr(packing, "FEW", 30)
-    rng = np.random.default_rng(first)
+@pytest.mark.parametrize("common", [0, 50, 1024])
+def test_lookups_are_exact_and_ties_go_by_place(common, monkeypatch):
+    """A large shard with many copies: the same documents in the same order as by scoring all, whatever the matrices hold."""
+    monkeypatch.setattr(packing, "COMMON", common)
+    rng = np.random.default_rng(common)
     own = [(rng.zipf(1.3, n) % 3000).astype("<u2") for n in rng.integers(1, 200, 500)]
     ids = [own[i] for i in rng.integers(0, 500, 900)]
     df = np.zeros(packing.VOCABULARY, np.int64)
