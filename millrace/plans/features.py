@@ -492,3 +492,60 @@ def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "upsert postgres": upsert(pg, 'ON CONFLICT ("k") DO UPDATE SET'), "upsert mysql": upsert(my, "ON DUPLICATE KEY UPDATE"), "upsert sqlserver": upsert(ms, "MERGE"),
     }
     return spark.createDataFrame(list(out.items()), "what string, said string")
+
+
+# -- a database: the embedded one that Spark brings along, spoken to as the dialect that quotes alike
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def _database(spark: SparkSession, sf_dir: str) -> tuple[Engine, str, jdbc.Connection]:
+    """An engine, the script that connects to an in-memory database with an empty table ``nation``, and its connection."""
+    e, d = _engine(spark, sf_dir)
+    url = f"jdbc:derby:memory:{os.path.basename(d)};create=true"
+    c = jdbc.Connection("pg", "postgres", {"url": url, "driver": DERBY})
+    sql_sinks.execute(spark.range(1), c, 'CREATE TABLE "nation" ("n_nationkey" BIGINT NOT NULL, "n_name" VARCHAR(40), "n_regionkey" BIGINT, "day" DATE)')
+    return e, f"CREATE CONNECTION pg TYPE postgres OPTIONS (url = '{url}', driver = '{DERBY}', auto_split = false); ", c
+
+
+LOAD_NATION = "LOAD INTO pg.nation APPEND WITH (auto_create = false) AS SELECT n_nationkey, n_name, n_regionkey, date_add('day', n_nationkey, make_date(2024, 1, 1)) AS day FROM 'nation.parquet'; "
+
+
+@_query(NATION)
+def jdbc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended by all tasks, and read as a table."""
+    e, connect, _ = _database(spark, sf_dir)
+    return e.sql(f"{connect}{LOAD_NATION}SELECT n_nationkey, n_name, n_regionkey FROM pg.nation")
+
+
+@_query(f"SELECT 'first' AS load, n_nationkey FROM ({NATION}) WHERE n_nationkey >= 20 UNION ALL SELECT 'second', n_nationkey FROM ({NATION}) WHERE n_nationkey < 3")
+def jdbc_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table held goes when it is replaced; the table itself stays."""
+    e, connect, _ = _database(spark, sf_dir)
+    load = "LOAD INTO pg.nation REPLACE WITH (auto_create = false) AS SELECT n_nationkey, n_name, n_regionkey, make_date(2024, 1, 1) AS day FROM 'nation.parquet' WHERE "
+    first = e.sql(f"{connect}{LOAD_NATION}{load} n_nationkey >= 20; SELECT 'first' AS load, n_nationkey FROM pg.nation").collect()
+    second = Engine(spark, e.run_).sql(f"{connect}{load} n_nationkey < 3; SELECT 'second' AS load, n_nationkey FROM pg.nation").collect()
+    return spark.createDataFrame([tuple(r) for r in [*first, *second]], "load string, n_nationkey long")  # some rows of 25
+
+
+@_query("SELECT CAST(n_regionkey AS BIGINT) AS r, COUNT(*) AS n FROM nation GROUP BY 1")
+def jdbc_raw_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, connect, _ = _database(spark, sf_dir)
+    return e.sql(f"""{connect}{LOAD_NATION}SELECT "r", "n" FROM pg.QUERY('SELECT "n_regionkey" AS "r", COUNT(*) AS "n" FROM "nation" GROUP BY "n_regionkey"')""")
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def jdbc_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicate goes to the server as it is written."""
+    e, connect, _ = _database(spark, sf_dir)
+    return e.sql(f"""PARAM r INT DEFAULT 1; {connect}{LOAD_NATION}SELECT n_nationkey, n_name FROM pg.nation PUSHDOWN ('"n_regionkey" = ' || $r)""")
+
+
+@_query(f"SELECT k, n_nationkey, slices FROM ({NATION}) CROSS JOIN ({_values('k, slices', ('n_nationkey', 4), ('day', 4))})")
+def jdbc_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read in slices of a whole-number key and of a date key, each a partition of its own; no row is lost or doubled."""
+    e, connect, _ = _database(spark, sf_dir)
+    frames = []
+    for i, k in enumerate(("n_nationkey", "day")):
+        df = (e if i == 0 else Engine(spark, e.run_)).sql(f"{connect}{LOAD_NATION if i == 0 else ''}SELECT '{k}' AS k, n_nationkey FROM pg.nation WITH (split = '{k}', slices = 4)")
+        frames.append([(*r, df.rdd.getNumPartitions()) for r in df.collect()])
+    return spark.createDataFrame(frames[0] + frames[1], "k string, n_nationkey long, slices long")  # 50 rows

@@ -94,7 +94,7 @@ def scratch(spark: SparkSession) -> str:
         base = shared.removeprefix("file://").removeprefix("file:")
         os.makedirs(base, exist_ok=True)
         return tempfile.mkdtemp(prefix="fetched-", dir=base)
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RunError("reading by HTTP or from a zip on a cluster needs spark.checkpoint.dir on a shared file system")
     return tempfile.mkdtemp(prefix="millrace-")
 
