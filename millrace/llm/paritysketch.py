@@ -15,9 +15,10 @@ off a sample of bounded size; it only decides which blocks are left out, and no
 
 Shape of the work: one shuffle of (block key, set, chain) rows, sorted, of which each run of equal keys is
 read as a stream. In a run not all pairs come out but stars: every set is paired with the first set of
-the run that it passes with. After verification and components, those runs that still hold sets of different
+the run that it passes with. Of a run of more than ``ROWS`` rows only a piece and the centers so far are held. After verification and components, those runs that still hold sets of different
 components are gone through once more, now for pairs across components whose whole sketches are near enough, so no
-link is lost and no large group is written out pair by pair. Copies have one set, which each task sends once. For verification
+link is lost and no large group is written out pair by pair; a run of more than ``PIECE`` rows is dealt out in pieces, each two of
+which meet in a task. Copies have one set, which each task sends once. For verification
 a pair goes to a slot by its leaf, and each slot gets the text of each set once: a center of a million copies goes to as many
 slots as there are, at most. Components come from alternating stars over tables (a million links and less: from
 one task); not to converge is an error. Nothing is collected but the sample's keys and a bitmap of fixed size, which only spares
@@ -56,8 +57,10 @@ SAMPLE, SHARED = 4096, 4
 SLOT = 256
 #: Bits of the sketch by which pairs of one run and different components are sifted.
 SIFT = 2048
-#: Words and sets that a task remembers, rows that it looks at together, bits of the bitmap of texts needed again.
-WORDS, SETS, ROWS, BITMAP = 1 << 16, 1 << 18, 1 << 18, 1 << 22
+#: Words and sets that a task remembers, rows that it looks at together, rows of a piece of a run.
+WORDS, SETS, ROWS, PIECE = 1 << 16, 1 << 18, 1 << 18, 1 << 17
+#: Bits of the bitmap of texts needed again: so many for each id, within bounds.
+BITS, BITMAP = 32, (1 << 16, 1 << 26)
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -268,24 +271,47 @@ def keys(docs: DataFrame, k: int, percent: int, shared: np.ndarray | None = None
     return _texts(docs).mapInArrow(run, "key long, sid long, chain long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of sorted batches in pieces that hold whole runs of equal keys."""
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """The columns of sorted batches in pieces that hold whole runs of equal keys.
+
+    A run of more than ``most`` rows comes in pieces of its own: the flag says that the piece's run goes on in the next.
+    """
     held: list[list[np.ndarray]] = []
-    rows = 0
+    rows, long = 0, None
+    joined = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
     for b in batches:
         c = [x.to_numpy(zero_copy_only=False) for x in b.columns]
         if not len(c[0]):
             continue
         held.append(c)
         rows += len(c[0])
-        if rows < ROWS or held[0][0][0] == c[0][-1]:
+        one = held[0][0][0] == c[0][-1]
+        if rows < ROWS or one and long is None and (most is None or rows < most):
             continue
-        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-        cut = np.searchsorted(whole[0], whole[0][-1])
-        yield [x[:cut] for x in whole]
-        held, rows = [[x[cut:] for x in whole]], len(whole[0]) - cut
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        whole = joined()
+        if long is not None:
+            end = int(np.searchsorted(whole[0], long, side="right"))
+            yield [x[:end] for x in whole], end == len(whole[0])
+            whole = [x[end:] for x in whole]
+            long = None if len(whole[0]) else long
+        elif one:
+            long = whole[0][0]
+            yield whole, True
+            whole = [x[:0] for x in whole]
+        if len(whole[0]):
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            if cut:
+                yield [x[:cut] for x in whole], False
+            whole = [x[cut:] for x in whole]
+        held, rows = [whole] if len(whole[0]) else [], len(whole[0])
+    whole = joined() if held else None
+    if long is not None:
+        end = int(np.searchsorted(whole[0], long, side="right")) if whole else 0
+        # The run's last piece may be empty: the flag is what counts.
+        yield [x[:end] for x in whole] if whole else [np.zeros(0, np.int64)] * len(c), False
+        whole = [x[end:] for x in whole] if whole else None
+    if whole and len(whole[0]):
+        yield whole, False
 
 
 def _left_out(group: np.ndarray, size: np.ndarray, center_of: np.ndarray, chain: np.ndarray) -> np.ndarray:
@@ -307,10 +333,41 @@ def _left_out(group: np.ndarray, size: np.ndarray, center_of: np.ndarray, chain:
 def stars(rows: DataFrame) -> DataFrame:
     """``(kind, a, b, c)``: kind 0 are pairs of a center a and another set b; kind 1 the rows (key, sid, chain) of runs to look at again."""
 
+    def found(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        p = np.unique(np.concatenate(pairs), axis=0)
+        zero = np.zeros(len(p), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.array(zero)], ["kind", "a", "b", "c"])
+
+    def look_again(key: np.ndarray, sid: np.ndarray, chain: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(sid), pa.array(chain.view(np.int64))], ["kind", "a", "b", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, sid, chain in _runs(batches):
-            own = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
+        centers: list[tuple[int, int]] = []
+        going = False
+        for (key, sid, chain), more in _runs(batches, ROWS):
+            own = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))[: len(key)]
             key, sid, chain = key[own], sid[own], chain[own].view(np.uint64)
+            if going or more:
+                # A piece of a long run: against the centers of the pieces before, and what is left among itself. All of it is looked at again.
+                pairs, left = [], np.arange(len(key))
+                i = 0
+                while len(left):
+                    if i == len(centers):
+                        centers.append((int(sid[left[0]]), int(chain[left[0]])))
+                        left = left[1:]
+                    c, bits = centers[i]
+                    ok = passes(chain[left], np.uint64(bits)) & (sid[left] != c)
+                    if ok.any():
+                        pairs.append(np.stack([np.full(ok.sum(), c), sid[left[ok]]], 1))
+                    left, i = left[~ok & (sid[left] != c)], i + 1
+                if pairs:
+                    yield found(pairs)
+                if len(key):
+                    yield look_again(key, sid, chain)
+                going = more
+                if not more:
+                    centers = []
+                continue
             start = np.append(True, key[1:] != key[:-1])
             group = np.cumsum(start) - 1
             size = np.bincount(group)
@@ -331,12 +388,10 @@ def stars(rows: DataFrame) -> DataFrame:
                 left = np.bincount(group[live], minlength=len(size)) if len(live) else size
                 live = live[left[group[live]] > 1]
             if pairs:
-                p = np.unique(np.concatenate(pairs), axis=0)
-                zero = np.zeros(len(p), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.array(zero)], ["kind", "a", "b", "c"])
+                yield found(pairs)
             again = _left_out(group, size, center_of, chain)
             if again.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(again.sum(), np.int32)), pa.array(key[again]), pa.array(sid[again]), pa.array(chain[again].view(np.int64))], ["kind", "a", "b", "c"])
+                yield look_again(key[again], sid[again], chain[again])
 
     return rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "kind int, a long, b long, c long")
 
@@ -352,7 +407,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, label, sid, chain, n, whole in _runs(batches):
+        for (key, label, sid, chain, n, whole), _ in _runs(batches):
             chain = chain.view(np.uint64)
             bits = np.frombuffer(b"".join(whole), np.uint64).reshape(len(key), SIFT // 64)
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -381,15 +436,25 @@ def unordered(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.col("a")).alias("center"))
 
 
+def in_pieces(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``(key, n, sid, ...)``, n a key's number of rows, with a key of its own for each two pieces of a large run."""
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    own = F.pmod(F.xxhash64("sid"), pieces).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    key = F.when(F.col("n") <= PIECE, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return dealt.withColumn("key", key).drop("own", "other", "n")
+
+
 def perhaps(ids: DataFrame):
-    """A condition on doc_id that holds for all of ``ids``' and for few others, by a bitmap of fixed size.
+    """A condition on doc_id that holds for all of ``ids``' and for few others, by a bitmap of bounded size.
 
-    It is bounded by ``BITMAP`` whatever the number of ids; many ids only make it let more through.
+    It has ``BITS`` for each id within the bounds ``BITMAP``; very many ids only make it let more through.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    size = min(max(1 << (BITS * ids.count()).bit_length(), BITMAP[0]), BITMAP[1])
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     words = ids.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits"))
-    bitmap = np.zeros(BITMAP // 64, np.int64)
-    got = words.toArrow()  # at most BITMAP / 64 rows
+    bitmap = np.zeros(size // 64, np.int64)
+    got = words.toArrow()  # at most size / 64 rows
     bitmap[got["w"].to_numpy()] = got["bits"].to_numpy()
 
     @F.pandas_udf("boolean")
@@ -535,8 +600,8 @@ def _labelled(docs: DataFrame, k: int, percent: int, held: Held) -> DataFrame:
     # Runs with sets of several components may hide links that the stars left out.
     again = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), F.col("c").alias("chain"))
     again = held(again.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("label", "sid").alias("label"), "sid", "chain"))
-    mixed = again.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    again = held(again.join(mixed, "key").select("key", "label", "sid", "chain"))
+    mixed = again.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
+    again = held(in_pieces(again.join(mixed, "key").select("key", "n", "label", "sid", "chain")))
     whole = sketches(again.select("sid").distinct(), docs, of, k, held)
     more = across(again.join(whole, "sid").select("key", "label", "sid", "chain", "n", "sketch"), percent)
     more = held(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "center"))

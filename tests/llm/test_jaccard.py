@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DOC, components, docs, words
 from pyspark.sql import functions as F
@@ -100,6 +101,52 @@ def test_a_passage_that_many_share_makes_no_hot_key(spark):
     assert [got[i] for i in range(210)] == [c for _, c in components(texts, 4, 85)]
 
 
+def test_long_runs_come_in_pieces():
+    """Whatever the batches, the rows come out in order, whole runs together and long ones piece by piece."""
+    rng = np.random.default_rng(3)
+    key = np.sort(np.concatenate([np.full(n, k) for k, n in enumerate(rng.choice([1, 2, 5, 40, 300], 60))])).astype(np.int64)
+    old, P.ROWS = P.ROWS, 16
+    try:
+        for cut in (1, 7, 33, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + cut]), pa.array(np.arange(len(key))[i : i + cut])], ["key", "x"]) for i in range(0, len(key), cut)]
+            pieces = list(P._runs(iter(batches), 16))
+            assert np.concatenate([c[1] for c, _ in pieces]).tolist() == list(range(len(key)))
+            open_ = None
+            for (k, _), more in pieces:
+                if open_ is not None:
+                    assert not len(k) or set(k) == {open_}
+                assert not more or len(set(k)) == 1
+                if open_ is None and not more and len(k):
+                    assert all((key == x).sum() == (k == x).sum() for x in set(k))
+                open_ = k[0] if more else None
+            assert max(len(c[0]) for c, _ in pieces) <= 16 + 2 * cut + 40 + 16
+    finally:
+        P.ROWS = old
+
+
+def test_bounded_pieces_lose_no_link(monkeypatch, spark):
+    """Tiny bounds, so that nearly all runs are long and dealt out in pieces: the same components as by all pairs."""
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(P, "PIECE", 4)
+    rows = P.ROWS
+    texts = corpus(11)
+    base = words(300, 77, 9000)
+    for i in range(40):
+        w = list(base)
+        for j in range(i % 6):
+            w[(i * 7 + j * 31) % 300] = f"e{i}{j}"
+        texts.append(" ".join(w))
+    cloudpickle.register_pickle_by_value(P)
+    monkeypatch.setattr(P, "ROWS", 8)
+    try:
+        got = {r.doc_id: r.component_id for r in P.join(docs(spark, texts)).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(P)
+    assert P.ROWS == 8 and rows > 8
+    assert [got[i] for i in range(len(texts))] == [c for _, c in components(texts, 4, 85)]
+
+
 def test_unsettled_components_are_an_error(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(ValueError, match="not settled"):
