@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,22 +54,22 @@ def files_for(rows: int) -> int:
 
 
 class Held:
-    """Frames that are read more than once, kept on executors' disks until ``free()``.
+    """Frames that are read more than once, as tables until ``free()``.
 
-    Their lineage stays, so what a lost executor held is worked out again. For what is many partitions large this
-    spares the shared folder as many files; loops cut their lineage with ``table()``.
+    Tables outlive executors, and plans over them are short: the driver keeps the plan of every query that has run, so kept frames
+    that carry theirs along would fill it.
     """
 
     def __init__(self) -> None:
         self.frames: list[DataFrame] = []
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
-        return df
+    def __call__(self, df: DataFrame, name: str = "held", parts: int | None = None) -> DataFrame:
+        self.frames.append(table(df, name, parts))
+        return self.frames[-1]
 
     def free(self) -> None:
         while self.frames:
-            self.frames.pop().unpersist()
+            drop_table(self.frames.pop())
 
 
 def drop_table(df: DataFrame) -> None:

@@ -479,7 +479,7 @@ def sketches(needed: DataFrame, docs: DataFrame, of: DataFrame, k: int, held: He
             own = [i for i, h in enumerate(hashes) if set_id(h) == b.column(0)[i].as_py()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([len(hashes[i]) for i in own], pa.int64()), pa.array([sketch(hashes[i]) for i in own], pa.binary())], ["sid", "n", "sketch"])
 
-    chosen = held(chosen_of(needed, of))
+    chosen = held(chosen_of(needed, of), "chosen")
     # Hinted so that the plan is the same at every size.
     texts = _texts(docs).where(perhaps(chosen)).join(chosen.hint("merge"), "doc_id").select("sid", "text")
     return texts.mapInArrow(run, "sid long, n long, sketch binary").dropDuplicates(["sid"])
@@ -488,9 +488,9 @@ def sketches(needed: DataFrame, docs: DataFrame, of: DataFrame, k: int, held: He
 def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: int, held: Held, n: int) -> DataFrame:
     """Those of the ``n`` ``pairs`` whose sets are as similar as asked, by the texts of one document each."""
     slots = max(1, n // SLOT)
-    dealt = held(pairs.select(F.pmod(F.xxhash64(F.when(F.col("center") == F.col("a"), F.col("b")).otherwise(F.col("a"))), F.lit(slots)).alias("slot"), "a", "b"))
-    needed = held(dealt.select("slot", F.explode(F.array("a", "b")).alias("sid")).distinct())
-    chosen = held(chosen_of(needed.select("sid").distinct(), of))
+    dealt = pairs.select(F.pmod(F.xxhash64(F.when(F.col("center") == F.col("a"), F.col("b")).otherwise(F.col("a"))), F.lit(slots)).alias("slot"), "a", "b")
+    needed = dealt.select("slot", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    chosen = held(chosen_of(needed.select("sid").distinct(), of), "chosen")
     # Hinted so that the plan is the same at every size.
     texts = _texts(docs).where(perhaps(chosen)).join(needed.join(chosen, "sid").hint("merge"), "doc_id")
     rows = texts.select("slot", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "text").union(dealt.select("slot", F.lit(1), "a", "b", F.lit(None).cast("binary")))
@@ -519,7 +519,7 @@ def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, k: int, percent: in
 
     linked = rows.repartition("slot").sortWithinPartitions("slot", "kind").mapInArrow(run, "a long, b long")
     # Dealt out anew, or few files would mean few tasks for all of the work above.
-    return table(linked.distinct(), "links", files_for(n))
+    return held(linked.distinct(), "links", files_for(n))
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -589,27 +589,26 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 def _labelled(docs: DataFrame, k: int, percent: int, held: Held) -> DataFrame:
     """A table of ``(doc_id, n, label)``: the label is the least set of the component."""
-    of = held(sets(docs, k))
-    found = held(stars(keys(docs, k, percent, shared_keys(docs, k, percent))))
-    pairs = held(unordered(found.where("kind = 0").select("a", "b")))
-    # Every plan over kept frames carries theirs along, so each is counted once only.
+    of = held(sets(docs, k), "sets")
+    found = held(stars(keys(docs, k, percent, shared_keys(docs, k, percent))), "found")
+    pairs = held(unordered(found.where("kind = 0").select("a", "b")), "pairs")
     total = pairs.count()
     links = verify(pairs, docs, of, k, percent, held, total)
     parts = files_for(total)
-    label = table(components(links, parts), "labels", parts)
+    label = held(components(links, parts), "labels", parts)
     # Runs with sets of several components may hide links that the stars left out.
     again = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), F.col("c").alias("chain"))
-    again = held(again.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("label", "sid").alias("label"), "sid", "chain"))
+    again = held(again.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("label", "sid").alias("label"), "sid", "chain"), "again")
     mixed = again.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
-    again = held(in_pieces(again.join(mixed, "key").select("key", "n", "label", "sid", "chain")))
+    again = held(in_pieces(again.join(mixed, "key").select("key", "n", "label", "sid", "chain")), "mixed")
     whole = sketches(again.select("sid").distinct(), docs, of, k, held)
     more = across(again.join(whole, "sid").select("key", "label", "sid", "chain", "n", "sketch"), percent)
-    more = held(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "center"))
+    more = held(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "center"), "more")
     n = more.count()
     if n:
         links = links.union(verify(more, docs, of, k, percent, held, n))
         parts = files_for(total + n)
-        label = table(components(links, parts), "labels", parts)
+        label = held(components(links, parts), "labels", parts)
     own = of.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label"))
     return table(own, "labelled", files_for(of.count()))
 
