@@ -73,35 +73,46 @@ def encode(text: str | None, closing: int = CLOSING) -> np.ndarray:
     return out
 
 
+TOKENS = "doc_id long, ids binary, counts binary"
+
+
 def tokenize(docs: DataFrame) -> DataFrame:
-    """``(doc_id, ids)`` with ids as bytes, two an id."""
+    """``(doc_id, ids, counts)``: ids as bytes, two an id; the last row of each task has none, but its counts.
+
+    Those are, as pairs of 64-bit numbers, ids and in how many of the task's documents they are, with the number of documents
+    and of ids behind the vocabulary.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(VOCABULARY + 2, np.int64)
+        names = [c.split()[0] for c in TOKENS.split(", ")]
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                ids = [encode(t.as_py()).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                ids = [encode(t.as_py()) for t in part.column(1)]
+                for a in ids:
+                    seen[np.unique(a)] += 1
+                seen[VOCABULARY:] += len(ids), sum(map(len, ids))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([a.tobytes() for a in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        if seen.any():
+            term = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.stack([term, seen[term]]).tobytes()], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
 def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     """In how many documents each id occurs, the number of documents and their mean length: over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, docs, length = np.zeros(VOCABULARY, np.int64), 0, 0
+        total = np.zeros(VOCABULARY + 2, np.int64)
         for b in batches:
-            for ids in b.column(0):
-                a = np.frombuffer(ids.as_buffer(), "<u2")
-                seen[np.unique(a)] += 1
-                docs, length = docs + 1, length + len(a)
-        term = np.flatnonzero(seen)
-        # Two rows past the vocabulary carry the totals.
-        terms = np.append(term, [VOCABULARY, VOCABULARY + 1])
-        counts = np.append(seen[term], [docs, length])
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts, pa.int64())], ["term", "n"])
-
-    rows = tokens.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+            for x in b.column(0):
+                term, n = np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1)
+                total[term] += n
+        term = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(total[term], pa.int64())], ["term", "n"])
+
+    rows = tokens.select("counts").where("counts is not null").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(VOCABULARY + 2, np.int64)
     for r in rows:
         df[r["term"]] = r["n"]
@@ -128,7 +139,7 @@ def by_key(tokens: DataFrame, idf: np.ndarray) -> DataFrame:
                 won[:, i] = a[times[:, a].argmin(1)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, won), *b.columns], [*names, "doc_id", "ids"])
 
-    keyed = tokens.mapInArrow(run, ", ".join(f"{n} int" for n in names) + ", doc_id long, ids binary")
+    keyed = tokens.select("doc_id", "ids").where("ids is not null").mapInArrow(run, ", ".join(f"{n} int" for n in names) + ", doc_id long, ids binary")
     return keyed.repartitionByRange(*names, "doc_id").sortWithinPartitions(*names, "doc_id").select("doc_id", "ids")
 
 
