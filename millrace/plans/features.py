@@ -280,13 +280,21 @@ def stdout_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_values("call, code, said", ("run", 0, '{"a":1}'), ("check", 1, ""), ("params", 0, '{"n":7}')))
 def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..cli import main
+    from ..session import SETTINGS
 
     out = []
+    # The command line makes the session its own; the caller's settings are put back.
+    keys = [*SETTINGS, "spark.sql.shuffle.partitions"]
+    sessions = [x for x in (spark, SparkSession.getActiveSession()) if x is not None]
+    before = [{k: x.conf.get(k, None) for k in keys} for x in sessions]
     for name, args in (("run", ["run", "-c", "SELECT 1 AS a", "--format", "json"]), ("check", ["check", "-c", "SELECT zz AS a"]), ("params", ["run", "-c", "PARAM n INT; SELECT $n AS n", "-p", "n=7", "--format", "json"])):
         said = io.StringIO()
         with contextlib.redirect_stdout(said), contextlib.redirect_stderr(io.StringIO()):
             code = main(args)
         out.append((name, code, json.dumps(json.loads(said.getvalue()), separators=(",", ":")) if code == 0 else ""))
+    for x, old in zip(sessions, before, strict=True):
+        for k, v in old.items():
+            x.conf.set(k, v) if v is not None else x.conf.unset(k)
     return spark.createDataFrame(out, "call string, code long, said string")
 
 
