@@ -69,7 +69,9 @@ def ordinal(df: DataFrame) -> DataFrame:
     """
     name, row = hidden(df.columns, "order"), F.monotonically_increasing_id()
     try:
-        return df.withColumn(name, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), row.alias("row")))
+        # Of one file the name says nothing, and texts are dear to compare.
+        path = [F.col("_metadata.file_path")] if len(df.inputFiles()) > 1 else []
+        return df.withColumn(name, F.struct(*path, F.col("_metadata.file_block_start"), row.alias("row")))
     except AnalysisException:  # what is read from no file has no such columns
         return df.withColumn(name, row)
 

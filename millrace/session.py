@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Where all of a join's partitions turn out to be that small when they are there, hashing them is cheaper than sorting both sides.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
 
