@@ -145,7 +145,9 @@ def _binary(e: A.Bin, scope: Scope) -> L.Typed:
     if e.op == "/":
         if isinstance(e.right, A.Lit) and e.right.value:
             return a / b, A.FLOAT
-        return F.when(b == 0, a * F.when(b.cast("string").startswith("-"), F.lit(-_INF)).otherwise(F.lit(_INF))).otherwise(a / b), A.FLOAT
+        # The processor's NaN of 0 * inf has its sign bit set and reads -nan elsewhere: the plain one takes its place.
+        beyond = a * F.when(b.cast("string").startswith("-"), F.lit(-_INF)).otherwise(F.lit(_INF))
+        return F.when(b == 0, F.nanvl(beyond, F.lit(_NAN))).otherwise(a / b), A.FLOAT
     r = a % b
     return F.when(b == 0, F.when(a.isNotNull(), F.lit(_NAN))).when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r), A.FLOAT
 
