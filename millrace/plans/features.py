@@ -13,12 +13,15 @@ import http.server
 import io
 import json
 import os
+import tempfile
 import threading
 import urllib.request
+import zipfile
 from collections.abc import Callable
 from functools import cache
 from urllib.parse import parse_qs, urlsplit
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import PlanError, RunError, Thrown
@@ -503,16 +506,36 @@ def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- a database: the embedded one that Spark brings along, spoken to as the dialect that quotes alike
-DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+DERBY, FAR = "org.apache.derby.iapi.jdbc.AutoloadedDriver", "millrace.FarDriver"
+
+
+@cache
+def _far(sc: SparkContext) -> tuple[str, str]:
+    """Where executors reach the in-memory databases of the driver's JVM: host and port, and a token. Their driver is compiled here and sent to them."""
+    jvm, conf = sc._jvm, sc.getConf()
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    with open(os.path.join(os.path.dirname(__file__), "FarDriver.java"), encoding="utf-8") as f:
+        compiler.cook(f.read())
+    jar = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "far-driver.jar")
+    with zipfile.ZipFile(jar, "w") as z:
+        for name, code in compiler.getBytecodes().items():
+            z.writestr(name.replace(".", "/") + ".class", bytes(code))
+    loader.addURL(jvm.java.io.File(jar).toURI().toURL())
+    sc._jsc.addJar(jar)
+    host = conf.get("spark.driver.host")
+    port, token = jvm.millrace.FarDriver.serve(conf.get("spark.driver.bindAddress", host)).split("/")
+    return f"{host}:{port}", token
 
 
 def _database(spark: SparkSession, sf_dir: str) -> tuple[Engine, str, jdbc.Connection]:
-    """An engine, the script that connects to an in-memory database with an empty table ``nation``, and its connection."""
+    """An engine, the script that connects to an in-memory database with an empty table ``nation``, and the driver's own connection to it."""
     e, d = _engine(spark, sf_dir)
-    url = f"jdbc:derby:memory:{os.path.basename(d)};create=true"
-    c = jdbc.Connection("pg", "postgres", {"url": url, "driver": DERBY})
+    name = os.path.basename(d)
+    at, token = _far(spark.sparkContext)
+    c = jdbc.Connection("pg", "postgres", {"url": f"jdbc:derby:memory:{name};create=true", "driver": DERBY})
     sql_sinks.execute(spark.range(1), c, 'CREATE TABLE "nation" ("n_nationkey" BIGINT NOT NULL, "n_name" VARCHAR(40), "n_regionkey" BIGINT, "day" DATE)')
-    return e, f"CREATE CONNECTION pg TYPE postgres OPTIONS (url = '{url}', driver = '{DERBY}', auto_split = false); ", c
+    return e, f"CREATE CONNECTION pg TYPE postgres OPTIONS (url = 'jdbc:derby://{at}/{name};token={token}', driver = '{FAR}', auto_split = false); ", c
 
 
 LOAD_NATION = "LOAD INTO pg.nation APPEND WITH (auto_create = false) AS SELECT n_nationkey, n_name, n_regionkey, date_add('day', n_nationkey, make_date(2024, 1, 1)) AS day FROM 'nation.parquet'; "
