@@ -11,7 +11,7 @@ import pytest
 from millrace.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["jdbc_pushdown", "jdbc_raw_query", "jdbc_replace", "jdbc_slices"]
+NAMES = ["jdbc_pushdown", "jdbc_raw_query", "jdbc_replace", "jdbc_slices", "jdbc_table"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 RUN = """
 import json, sys
