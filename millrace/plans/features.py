@@ -514,13 +514,17 @@ def _far(sc: SparkContext) -> tuple[str, str]:
     """Where executors reach the in-memory databases of the driver's JVM: host and port, and a token. Their driver is compiled here and sent to them."""
     jvm, conf = sc._jvm, sc.getConf()
     loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
-    compiler = jvm.org.codehaus.janino.SimpleCompiler()
-    with open(os.path.join(os.path.dirname(__file__), "FarDriver.java"), encoding="utf-8") as f:
-        compiler.cook(f.read())
-    jar = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "far-driver.jar")
-    with zipfile.ZipFile(jar, "w") as z:
-        for name, code in compiler.getBytecodes().items():
-            z.writestr(name.replace(".", "/") + ".class", bytes(code))
+    # An executor that starts later asks for it again, and can run nothing without it: it lies with the application's own files, not where temp folders are cleared.
+    jar = os.path.join(sc._temp_dir, "far-driver.jar")
+    if not os.path.exists(jar):
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        with open(os.path.join(os.path.dirname(__file__), "FarDriver.java"), encoding="utf-8") as f:
+            compiler.cook(f.read())
+        fd, part = tempfile.mkstemp(dir=sc._temp_dir)
+        with open(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
+            for name, code in compiler.getBytecodes().items():
+                z.writestr(name.replace(".", "/") + ".class", bytes(code))
+        os.replace(part, jar)
     loader.addURL(jvm.java.io.File(jar).toURI().toURL())
     sc._jsc.addJar(jar)
     host = conf.get("spark.driver.host")
