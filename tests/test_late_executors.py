@@ -71,3 +71,7 @@ def same_as_duckdb(late, name):
 
 def test_raw_query(late):
     same_as_duckdb(late, "jdbc_raw_query")
+
+
+def test_replace(late):
+    same_as_duckdb(late, "jdbc_replace")
