@@ -75,3 +75,7 @@ def test_raw_query(late):
 
 def test_replace(late):
     same_as_duckdb(late, "jdbc_replace")
+
+
+def test_slices(late):
+    same_as_duckdb(late, "jdbc_slices")
