@@ -79,3 +79,7 @@ def test_replace(late):
 
 def test_slices(late):
     same_as_duckdb(late, "jdbc_slices")
+
+
+def test_table(late):
+    same_as_duckdb(late, "jdbc_table")
