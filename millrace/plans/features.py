@@ -510,8 +510,8 @@ DERBY, FAR = "org.apache.derby.iapi.jdbc.AutoloadedDriver", "millrace.FarDriver"
 
 
 @cache
-def _far(sc: SparkContext) -> tuple[str, str]:
-    """Where executors reach the in-memory databases of the driver's JVM: host and port, and a token. Their driver is compiled here and sent to them."""
+def _far(sc: SparkContext) -> tuple[str, str, str]:
+    """Where executors reach the in-memory databases of the driver's JVM: host and port, and a token. Their driver is compiled here and sent to them; its jar comes third."""
     jvm, conf = sc._jvm, sc.getConf()
     loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
     # An executor that starts later asks for it again, and can run nothing without it: it lies with the application's own files, not where temp folders are cleared.
@@ -529,17 +529,24 @@ def _far(sc: SparkContext) -> tuple[str, str]:
     sc._jsc.addJar(jar)
     host = conf.get("spark.driver.host")
     port, token = jvm.millrace.FarDriver.serve(conf.get("spark.driver.bindAddress", host)).split("/")
-    return f"{host}:{port}", token
+    return f"{host}:{port}", token, jar
+
+
+def _sent(e: Engine) -> Engine:
+    """Where each session has a class path of its own on executors, tasks of an engine's session lack what the application has added: it gets the database's driver itself."""
+    if e.spark.conf.get("spark.sql.artifact.isolation.enabled", "false") == "true":
+        e.spark._jsparkSession.addArtifact(_far(e.spark.sparkContext)[2])
+    return e
 
 
 def _database(spark: SparkSession, sf_dir: str) -> tuple[Engine, str, jdbc.Connection]:
     """An engine, the script that connects to an in-memory database with an empty table ``nation``, and the driver's own connection to it."""
     e, d = _engine(spark, sf_dir)
     name = os.path.basename(d)
-    at, token = _far(spark.sparkContext)
+    at, token, _ = _far(spark.sparkContext)
     c = jdbc.Connection("pg", "postgres", {"url": f"jdbc:derby:memory:{name};create=true", "driver": DERBY})
     sql_sinks.execute(spark.range(1), c, 'CREATE TABLE "nation" ("n_nationkey" BIGINT NOT NULL, "n_name" VARCHAR(40), "n_regionkey" BIGINT, "day" DATE)')
-    return e, f"CREATE CONNECTION pg TYPE postgres OPTIONS (url = 'jdbc:derby://{at}/{name};token={token}', driver = '{FAR}', auto_split = false); ", c
+    return _sent(e), f"CREATE CONNECTION pg TYPE postgres OPTIONS (url = 'jdbc:derby://{at}/{name};token={token}', driver = '{FAR}', auto_split = false); ", c
 
 
 LOAD_NATION = "LOAD INTO pg.nation APPEND WITH (auto_create = false) AS SELECT n_nationkey, n_name, n_regionkey, date_add('day', n_nationkey, make_date(2024, 1, 1)) AS day FROM 'nation.parquet'; "
@@ -558,7 +565,7 @@ def jdbc_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, connect, _ = _database(spark, sf_dir)
     load = "LOAD INTO pg.nation REPLACE WITH (auto_create = false) AS SELECT n_nationkey, n_name, n_regionkey, make_date(2024, 1, 1) AS day FROM 'nation.parquet' WHERE "
     first = e.sql(f"{connect}{LOAD_NATION}{load} n_nationkey >= 20; SELECT 'first' AS load, n_nationkey FROM pg.nation").collect()
-    second = Engine(spark, e.run_).sql(f"{connect}{load} n_nationkey < 3; SELECT 'second' AS load, n_nationkey FROM pg.nation").collect()
+    second = _sent(Engine(spark, e.run_)).sql(f"{connect}{load} n_nationkey < 3; SELECT 'second' AS load, n_nationkey FROM pg.nation").collect()
     return spark.createDataFrame([tuple(r) for r in [*first, *second]], "load string, n_nationkey long")  # some rows of 25
 
 
