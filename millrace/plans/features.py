@@ -588,6 +588,6 @@ def jdbc_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, connect, _ = _database(spark, sf_dir)
     frames = []
     for i, k in enumerate(("n_nationkey", "day")):
-        df = (e if i == 0 else Engine(spark, e.run_)).sql(f"{connect}{LOAD_NATION if i == 0 else ''}SELECT '{k}' AS k, n_nationkey FROM pg.nation WITH (split = '{k}', slices = 4)")
+        df = (e if i == 0 else _sent(Engine(spark, e.run_))).sql(f"{connect}{LOAD_NATION if i == 0 else ''}SELECT '{k}' AS k, n_nationkey FROM pg.nation WITH (split = '{k}', slices = 4)")
         frames.append([(*r, df.rdd.getNumPartitions()) for r in df.collect()])
     return spark.createDataFrame(frames[0] + frames[1], "k string, n_nationkey long, slices long")  # 50 rows

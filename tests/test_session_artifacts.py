@@ -45,3 +45,7 @@ def same_as_duckdb(d, name):
 
 def test_replace(tmp_path):
     same_as_duckdb(tmp_path, "jdbc_replace")
+
+
+def test_slices(tmp_path):
+    same_as_duckdb(tmp_path, "jdbc_slices")
