@@ -49,3 +49,7 @@ def test_replace(tmp_path):
 
 def test_slices(tmp_path):
     same_as_duckdb(tmp_path, "jdbc_slices")
+
+
+def test_table(tmp_path):
+    same_as_duckdb(tmp_path, "jdbc_table")
