@@ -532,10 +532,11 @@ def _far(sc: SparkContext) -> tuple[str, str, str]:
     return f"{host}:{port}", token, jar
 
 
-def _sent(e: Engine) -> Engine:
-    """Where each session has a class path of its own on executors, tasks of an engine's session lack what the application has added: it gets the database's driver itself."""
-    if e.spark.conf.get("spark.sql.artifact.isolation.enabled", "false") == "true":
-        e.spark._jsparkSession.addArtifact(_far(e.spark.sparkContext)[2])
+def _sent(e: Engine, *readers: SparkSession) -> Engine:
+    """Where each session has a class path of its own on executors, tasks of a session lack what the application has added: the engine's and those that read its results get the database's driver themselves."""
+    for s in (e.spark, *readers):
+        if s.conf.get("spark.sql.artifact.isolation.enabled", "false") == "true":
+            s._jsparkSession.addArtifact(_far(s.sparkContext)[2])
     return e
 
 
@@ -546,7 +547,7 @@ def _database(spark: SparkSession, sf_dir: str) -> tuple[Engine, str, jdbc.Conne
     at, token, _ = _far(spark.sparkContext)
     c = jdbc.Connection("pg", "postgres", {"url": f"jdbc:derby:memory:{name};create=true", "driver": DERBY})
     sql_sinks.execute(spark.range(1), c, 'CREATE TABLE "nation" ("n_nationkey" BIGINT NOT NULL, "n_name" VARCHAR(40), "n_regionkey" BIGINT, "day" DATE)')
-    return _sent(e), f"CREATE CONNECTION pg TYPE postgres OPTIONS (url = 'jdbc:derby://{at}/{name};token={token}', driver = '{FAR}', auto_split = false); ", c
+    return _sent(e, spark), f"CREATE CONNECTION pg TYPE postgres OPTIONS (url = 'jdbc:derby://{at}/{name};token={token}', driver = '{FAR}', auto_split = false); ", c
 
 
 LOAD_NATION = "LOAD INTO pg.nation APPEND WITH (auto_create = false) AS SELECT n_nationkey, n_name, n_regionkey, date_add('day', n_nationkey, make_date(2024, 1, 1)) AS day FROM 'nation.parquet'; "
